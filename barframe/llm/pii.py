@@ -7,7 +7,6 @@ once (no pattern backs up over a run it has already read).
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -164,25 +163,18 @@ def mask_pii(documents: DataFrame, text: str = "text", least_score: float = 0.5)
     return documents.withColumn(text, masked(F.col(text)))
 
 
-def _listed(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-
-
-def digest_row(spans: list[tuple[str, int, int]]) -> tuple[int, int, int, int, str, str]:
-    """Counts of the base kinds, the digest of the base spans and the list of all spans."""
-    base = [x for x in spans if x[0] in BASE_KINDS]
-    counts = [sum(x[0] == k for x in base) for k in BASE_KINDS]
-    return (*counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans))
+def _of_kinds(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda x: x["kind"].isin(*kinds))
 
 
 def op5_pii(spark, folder: str) -> DataFrame:
     """Personal data in every document, as counts, a digest of the base spans and all spans."""
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     found = find_pii(documents)
-    listed = lambda kinds: F.array_join(F.transform(F.filter("pii", lambda x: x["kind"].isin(*kinds)), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    listed = lambda kinds: F.array_join(F.transform(_of_kinds("pii", *kinds), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[F.size(_of_kinds("pii", k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.encode(listed(BASE_KINDS), "UTF-8"), 256).alias("base_sha256"),
         listed(KINDS).alias("spans"),
         F.aggregate("pii", F.lit(0.0), lambda a, x: F.greatest(a, x["score"])).alias("top_score"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from barframe.llm.licenses import op1_licenses
 from barframe.llm.pii import op5_pii
 
-QUERIES: dict[str, Callable] = {"op5_pii": op5_pii}
+QUERIES: dict[str, Callable] = {"op1_licenses": op1_licenses, "op5_pii": op5_pii}
 ORACLE_SQL: dict[str, str] = {}
