@@ -175,7 +175,7 @@ def _without_nested(found: Column) -> Column:
     with many matches cost no more than their number.
     """
     kind = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"
-    keyed = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-x["priority"]).alias("low"), x["rule"].alias("rule"), x["label"].alias("label"))))
+    keyed = F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-x["priority"]).alias("low"), x["rule"].alias("rule"), x["label"].alias("label"))))
 
     def inside(s: Column, x: Column) -> Column:
         end, p = -x["back"], -x["low"]
@@ -185,7 +185,7 @@ def _without_nested(found: Column) -> Column:
 
     start = F.struct(*[F.lit(-1).alias(f"e{k}") for k in range(3)], F.array().cast(kind).alias("out"))
     outer = F.aggregate(keyed, start, inside, lambda s: s["out"])
-    backwards = F.reverse(F.array_sort(F.transform(outer, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["priority"].alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))))
+    backwards = F.reverse(F.sort_array(F.transform(outer, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["priority"].alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))))
 
     def around(s: Column, x: Column) -> Column:
         end, p, far = -x["back"], x["priority"], F.lit(2**31 - 1)
@@ -203,9 +203,8 @@ def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
     priority, rule and label.
     """
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(w).alias("priority"), F.lit(n).alias("rule"), F.lit(label).alias("label")) for n, (k, p, w, label) in enumerate(rules())])
-    whole = F.coalesce(F.col(text), F.lit(""))
-    gate = _gate(whole)
-    out = documents.withColumn("license_words", F.when(gate, normal_words(F.col(text))))
+    lowered = documents.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    out = lowered.withColumn("license_words", F.when(_gate(F.col("__low")), normal_words(F.col(text)))).drop("__low")
     norm = F.col("license_words")
     none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
     live = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
@@ -214,8 +213,7 @@ def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("licenses", F.when(F.size("licenses") > 0, _without_nested(F.col("licenses"))).otherwise(none))
 
 
-def _gate(text: Column) -> Column:
-    low = F.lower(text)
+def _gate(low: Column) -> Column:
     deed = F.contains(low, F.lit("cc")) & F.rlike(low, F.lit("cc[^0-9a-z]+by"))
     return reduce(lambda a, b: a | b, (F.contains(low, F.lit(g)) for g in GATE), F.lit(False)) | deed
 
@@ -234,8 +232,8 @@ def license_columns(norm: Column, found: Column, n_words: Column) -> list[Column
         sum(hit[1:], hit[0]).cast("long").alias("n_base"),
         F.least(*first).cast("long").alias("first_word"),
         F.greatest(*last).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.array_join(F.sort_array(base), ",").alias("base_labels"),
+        F.array_join(F.sort_array(labels), ",").alias("labels"),
         F.greatest(F.round(1 - doubt, 6), F.when(F.size(base) > 0, 0.75).otherwise(0.0)).alias("score"),
     ]
 
