@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from barframe.llm.licenses import op1_licenses
 from barframe.llm.line_dedup import OP8_SQL, op8_line_dedup
+from barframe.llm.ngram_join import op3_ngram_join
 from barframe.llm.pii import op5_pii
 
-QUERIES: dict[str, Callable] = {"op1_licenses": op1_licenses, "op5_pii": op5_pii, "op8_line_dedup": op8_line_dedup}
+QUERIES: dict[str, Callable] = {"op1_licenses": op1_licenses, "op3_ngram_join": op3_ngram_join, "op5_pii": op5_pii, "op8_line_dedup": op8_line_dedup}
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
