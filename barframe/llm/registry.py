@@ -8,6 +8,7 @@ from barframe.llm.licenses import op1_licenses
 from barframe.llm.line_dedup import OP8_SQL, op8_line_dedup
 from barframe.llm.ngram_join import op3_ngram_join
 from barframe.llm.pii import op5_pii
+from barframe.llm.warc import OP10_SQL, op10_warc
 
-QUERIES: dict[str, Callable] = {"op1_licenses": op1_licenses, "op3_ngram_join": op3_ngram_join, "op5_pii": op5_pii, "op8_line_dedup": op8_line_dedup}
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+QUERIES: dict[str, Callable] = {"op1_licenses": op1_licenses, "op3_ngram_join": op3_ngram_join, "op5_pii": op5_pii, "op8_line_dedup": op8_line_dedup, "op10_warc": op10_warc}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op10_warc": OP10_SQL}
