@@ -224,16 +224,27 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
     """Pairs of sets in different components that may still link."""
     label = component.select(F.col("node").alias("x"), "component")
     seen = tested.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    # close to a common hub: they share one of the H + 1 rarest elements of their differences to it
+    # Close to a common hub: |x - y| is |dx| + |dy| - 2 |dx and dy| for the differences dx and dy to
+    # it, so a pair that links shares so many elements of them that it shares one of the rarest.
     open_hubs = seen.groupBy("hub").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("linked").alias("all")).filter("c < d and not all").select("hub")
-    near = seen.filter(F.col("delta").isNotNull()).join(open_hubs, "hub").select("hub", "x", "component", "linked", "size", F.explode("delta").alias("element"))
+    width = F.size("delta").cast("long")
+    slack = width * (den - num) / (den + num)
+    overlap = F.when(F.col("linked"), F.ceil((1 + width - F.ceil(slack)) / 2)).otherwise(F.ceil((width - F.floor(slack)) / 2))
+    near = seen.filter(F.col("delta").isNotNull()).join(open_hubs, "hub").withColumn("apart", width)
+    near = near.withColumn("short", F.col("apart") - F.greatest(overlap, F.lit(1)) + 1).withColumn("long", F.least("apart", F.floor(F.col("size") * (den - num) / num) + 1))
+    facts = ["hub", "x", "component", "linked", "size", "apart", "short", "long"]
+    near = near.select(*facts, F.explode("delta").alias("element"))
     counts = near.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rarest = Window.partitionBy("hub", "x").orderBy("n", "element")
     everything = near.join(counts, ["hub", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    prefix = everything.withColumn("place", F.row_number().over(rarest)).filter((F.col("place") <= F.floor(F.col("size") * (den - num) / num) + 1) & (F.col("n") > 1)).select("hub", "element", "x", "component", "linked", "size")
-    y = prefix.select("hub", "element", F.col("x").alias("y"), F.col("component").alias("other"), F.col("linked").alias("also"), F.col("size").alias("width"))
-    fits = (F.least("size", "width") * den >= F.greatest("size", "width") * num) & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other"))
-    close = prefix.join(y, ["hub", "element"]).filter(fits & ~(F.col("linked") & F.col("also"))).select("x", "y")
+    placed = everything.withColumn("place", F.row_number().over(rarest))
+    prefix = placed.filter((F.col("n") > 1) & (F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long")))).select(*facts, "element", "place")
+    y = prefix.select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in (*facts[1:], "place")])
+    fits = lambda size, other: F.least(size, other) * den >= F.greatest(size, other) * num
+    free, other_free = ~F.col("linked"), ~F.col("y_linked")
+    reach = (free & other_free & (F.col("place") <= F.col("short")) & (F.col("y_place") <= F.col("y_short"))) | (free & F.col("y_linked") & (F.col("place") <= F.col("long"))) | (F.col("linked") & other_free & (F.col("y_place") <= F.col("y_long")))
+    alike = F.abs(F.col("apart") - F.col("y_apart")) * (den + num) <= (F.col("size") + F.col("y_size")) * (den - num)
+    close = prefix.join(y, ["hub", "element"]).filter((F.col("x") < F.col("y_x")) & (F.col("component") != F.col("y_component")) & fits("size", "y_size") & alike & reach).select("x", F.col("y_x").alias("y"))
     # far from the hub of a signature: so is any partner
     away = F.col("size") + F.col("hub_size") - 2 * F.col("common")
     limit = F.floor(F.col("size") * (den - num) / num) + 1
@@ -242,7 +253,7 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
     members = stars.join(far.withColumn("ring", ring).select("x", "hub", "component", "size", "ring", "very"), ["x", "hub"])
     u = members.select("key", "x", "component", "size", "very", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))
     v = members.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"), "ring")
-    apart = u.join(v, ["key", "ring"]).filter(fits & (F.col("very") | F.col("also"))).select("x", "y")
+    apart = u.join(v, ["key", "ring"]).filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also"))).select("x", "y")
     return close.union(apart).distinct().select("x", F.col("y").alias("hub"))
 
 
