@@ -229,16 +229,17 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
     open_hubs = seen.groupBy("hub").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("linked").alias("all")).filter("c < d and not all").select("hub")
     width = F.size("delta").cast("long")
     slack = width * (den - num) / (den + num)
-    overlap = F.when(F.col("linked"), F.ceil((1 + width - F.ceil(slack)) / 2)).otherwise(F.ceil((width - F.floor(slack)) / 2))
+    most = F.floor(F.col("size") * (den - num) / num)
+    overlap = F.when(F.col("linked"), F.ceil((1 + width - F.ceil(slack)) / 2)).otherwise(F.greatest(F.ceil((width - F.floor(slack)) / 2), width - most))
     near = seen.filter(F.col("delta").isNotNull()).join(open_hubs, "hub").withColumn("apart", width)
-    near = near.withColumn("short", F.col("apart") - F.greatest(overlap, F.lit(1)) + 1).withColumn("long", F.least("apart", F.floor(F.col("size") * (den - num) / num) + 1))
+    near = near.withColumn("short", F.col("apart") - F.greatest(overlap, F.lit(1)) + 1).withColumn("long", F.least("apart", most + 1))
     facts = ["hub", "x", "component", "linked", "size", "apart", "short", "long"]
     near = near.select(*facts, F.explode("delta").alias("element"))
     counts = near.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rarest = Window.partitionBy("hub", "x").orderBy("n", "element")
     everything = near.join(counts, ["hub", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     placed = everything.withColumn("place", F.row_number().over(rarest))
-    prefix = placed.filter((F.col("n") > 1) & (F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long")))).select(*facts, "element", "place")
+    prefix = placed.filter((F.col("n") > 1) & (F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.col("long")))).select(*facts, "element", "place")
     y = prefix.select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in (*facts[1:], "place")])
     fits = lambda size, other: F.least(size, other) * den >= F.greatest(size, other) * num
     free, other_free = ~F.col("linked"), ~F.col("y_linked")
