@@ -10,7 +10,9 @@ their chance meetings.  Bands of full segments have spare segments, and each set
 many of its most frequent signatures as there are spare ones: any two sets that link still share
 one, because both leave out from the same end of the same order.
 
-A signature's sets are not paired with each other.  Each is verified against one hub; then
+A signature's sets are not paired with each other.  Each is held against one hub: first by sketches
+(a bit for the parity of the elements of each hash value: no more bits differ than elements do),
+then, unless those tell that the sets are far apart, by their texts.  Then
 components are formed, and only what can still join two components is looked at: sets that share
 a hub and also a rare element of their differences to it (x and y differ by the symmetric
 difference of their differences to the hub), or that share a signature and are both far from its
@@ -40,8 +42,10 @@ BAND_POWER = 3
 SPARE = 0.5
 #: Cost of a chance meeting, in signatures, at a segment of no elements; it halves with each element.
 MEETING = 8
-#: A set is far from a hub when more than this times its H elements differ.
-FAR = 4
+#: A set is near a hub when at most this share of its size differs; else it is far.
+NEAR = 0.8
+#: Bits of a sketch.
+SKETCH = 2048
 
 
 # --- sets -----------------------------------------------------------------------------------
@@ -146,21 +150,27 @@ def _signatures(own: np.ndarray, bands: list[tuple[int, int, int, int]], lows: n
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+_PLACE = np.uint64(0xA0761D6478BD642F)
+
+
 def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = plans(num, den)
         lows = np.array([b[0] for b in bands])
         for batch in batches:
-            h1, h2, sizes, keys = [], [], [], []
+            h1, h2, sizes, keys, sketches = [], [], [], [], []
             for own in _sets(batch.column(1), n):
                 a, b = _identity(own)
                 h1.append(a)
                 h2.append(b)
                 sizes.append(len(own))
+                sketches.append(np.packbits(np.bincount((mix(own ^ _PLACE) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64))
                 keys.append(_signatures(own, bands, lows, num, den).view(np.int64) if len(own) else np.zeros(0, np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc", "size", "h1", "h2", "keys"])
+            bits = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
+            even = pa.array((np.arange(len(sketches) + 1) * (SKETCH // 64)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.ListArray.from_arrays(even, bits)], names=["doc", "size", "h1", "h2", "keys", "sketch"])
 
     return run
 
@@ -185,7 +195,7 @@ def _verify(n: int, num: int, den: int):
                 common = len(np.intersect1d(own, hub, assume_unique=True))
                 apart = len(own) + len(hub) - 2 * common
                 linked = den * common >= num * (len(own) + len(hub) - common)
-                near = apart <= FAR * (len(own) * (den - num) // num + 1)
+                near = apart <= NEAR * len(own)
                 rows.append((len(own), len(hub), common, linked, np.setxor1d(own, hub, assume_unique=True).view(np.int64).tolist() if near else None))
             columns = list(zip(*rows)) if rows else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
@@ -196,11 +206,19 @@ def _verify(n: int, num: int, den: int):
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
     """``pairs`` (x, hub) with sizes, common elements, whether they link, and the difference."""
-    left = pairs.join(texts.select(F.col("doc").alias("x"), F.col("text").alias("tx")), "x")
+    left = pairs.select("x", "hub").join(texts.select(F.col("doc").alias("x"), F.col("text").alias("tx")), "x")
     both = left.join(texts.select(F.col("doc").alias("hub"), F.col("text").alias("th")), "hub").select("x", "hub", "tx", "th")
     return written(both.mapInArrow(_verify(n, num, den), "x long, hub long, size long, hub_size long, common long, linked boolean, delta array<long>"), name)
 
 
+def _sketched(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``pairs`` (x, hub) with both sizes and ``gap``: at least so many elements differ."""
+    one = pairs.join(facts.select(F.col("rep").alias("x"), "size", "sketch"), "x")
+    two = one.join(facts.select(F.col("rep").alias("hub"), F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch")), "hub")
+    bits = F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return two.select("x", "hub", "size", "hub_size", F.aggregate(bits, F.lit(0), lambda s, v: s + v).cast("long").alias("gap"))
+
+
 # --- join -----------------------------------------------------------------------------------
 
 
@@ -247,14 +265,12 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
     alike = F.abs(F.col("apart") - F.col("y_apart")) * (den + num) <= (F.col("size") + F.col("y_size")) * (den - num)
     close = prefix.join(y, ["hub", "element"]).filter((F.col("x") < F.col("y_x")) & (F.col("component") != F.col("y_component")) & fits("size", "y_size") & alike & reach).select("x", F.col("y_x").alias("y"))
     # far from the hub of a signature: so is any partner
-    away = F.col("size") + F.col("hub_size") - 2 * F.col("common")
-    limit = F.floor(F.col("size") * (den - num) / num) + 1
-    far = seen.filter(away > (FAR - 2) * limit).withColumn("very", F.col("delta").isNull())
-    ring = F.floor((1 - F.col("common") / (F.col("size") + F.col("hub_size") - F.col("common"))) * den / (den - num)).cast("int")
-    members = stars.join(far.withColumn("ring", ring).select("x", "hub", "component", "size", "ring", "very"), ["x", "hub"])
-    u = members.select("key", "x", "component", "size", "very", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))
-    v = members.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"), "ring")
-    apart = u.join(v, ["key", "ring"]).filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also"))).select("x", "y")
+    away = F.coalesce(F.col("size") + F.col("hub_size") - 2 * F.col("common"), F.col("gap"))
+    far = seen.filter(away > (NEAR * num / den - (den - num) / num) * F.col("size") - 1).withColumn("very", F.col("delta").isNull())
+    members = stars.join(far.select("x", "hub", "component", "size", "very"), ["x", "hub"])
+    u = members.select("key", "x", "component", "size", "very")
+    v = members.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"))
+    apart = u.join(v, "key").filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also"))).select("x", "y")
     return close.union(apart).distinct().select("x", F.col("y").alias("hub"))
 
 
@@ -262,13 +278,20 @@ def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id:
     """``doc``, ``size`` (of its set) and ``component`` (least linked id) for each row with an id."""
     own = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     members = written(own.mapInArrow(_describe(n), "doc long, size long, h1 long, h2 long"), "sets")
-    signed = own.mapInArrow(_sign(n, num, den), "doc long, size long, h1 long, h2 long, keys array<long>")
-    classes = signed.filter("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
-    stars = written(_with_hub(_kept_signatures(written(classes, "classes"), num, den)), "stars")
-    tested = _verified(stars.select("x", "hub").distinct(), own, n, num, den, "tested")
+    signed = own.mapInArrow(_sign(n, num, den), "doc long, size long, h1 long, h2 long, keys array<long>, sketch array<long>")
+    classes = signed.filter("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select("rep", "size", "keys", "sketch")
+    classes = written(classes, "classes")
+    facts = classes.select("rep", "size", "sketch")
+    stars = written(_with_hub(_kept_signatures(classes, num, den)), "stars")
+    pairs = written(_sketched(stars.select("x", "hub").distinct(), facts), "pairs")
+    near = F.col("gap") <= NEAR * F.col("size")
+    tested = _verified(pairs.filter(near), own, n, num, den, "tested")
     links = tested.filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
     component = connected_components(links)
-    late = _verified(written(_open_pairs(stars, tested, component, num, den), "open"), own, n, num, den, "late").filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
+    seen = tested.withColumn("gap", F.lit(None).cast("long")).unionByName(pairs.filter(~near).withColumn("linked", F.lit(False)), allowMissingColumns=True)
+    still = written(_sketched(_open_pairs(stars, seen, component, num, den), facts), "open")
+    alike = (F.col("gap") * (den + num) <= (F.col("size") + F.col("hub_size")) * (den - num)) & (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num)
+    late = _verified(still.filter(alike), own, n, num, den, "late").filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
     if not late.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     labelled = members.filter("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep"))
