@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from barframe.functions import ta
 from barframe.operators.folds import dmi_fold, ema_fold, macd_fold, rsi_fold, supertrend_fold
-from barframe.plans import indicators, scalars, tables
+from barframe.plans import indicators, scalars, scripts, tables
 from barframe.sources.bars import event_bars
 
-QUERIES: dict[str, Callable] = {**indicators.QUERIES, **scalars.QUERIES, **tables.QUERIES}
-ORACLE_SQL: dict[str, str] = {**indicators.ORACLE_SQL, **scalars.ORACLE_SQL, **tables.ORACLE_SQL}
+QUERIES: dict[str, Callable] = {**indicators.QUERIES, **scalars.QUERIES, **tables.QUERIES, **scripts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**indicators.ORACLE_SQL, **scalars.ORACLE_SQL, **tables.ORACLE_SQL, **scripts.ORACLE_SQL}
 
 
 def flagship(spark, folder: str) -> DataFrame:
