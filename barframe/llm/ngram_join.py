@@ -36,11 +36,12 @@ from barframe.llm.components import connected_components
 from barframe.llm.shared import written
 from barframe.llm.text import gram_hashes, mix, slices, utf8_parts, word_hashes
 
-#: Sizes of a band grow by the similarity to the power of minus this.
-BAND_POWER = 3
+#: Sizes of a band reach up to this times its least (and at least so far that partners are in the next band).
+BAND_GROWTH = 1.4
 #: Spare segments for each element that may differ.
-SPARE = 0.5
-#: Cost of a chance meeting, in signatures, at a segment of no elements; it halves with each element.
+SPARE = 0.3
+#: Cost of a chance meeting, in signatures.  A segment meets others by chance with a probability that
+#: halves with each element it holds; as many meetings as there are spare segments are left out.
 MEETING = 8
 #: A set is near a hub when at most this share of its size differs; else it is far.
 NEAR = 0.8
@@ -74,16 +75,28 @@ def _identity(own: np.ndarray) -> tuple[int, int]:
     return int(mix(own).sum().astype(np.int64)), int(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64))
 
 
+_PLACE = np.uint64(0xA0761D6478BD642F)
+
+
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of the elements of each hash value, as SKETCH bits."""
+    at = (mix(own ^ _PLACE) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, h1, h2 = [], [], []
+            sizes, h1, h2, sketches = [], [], [], []
             for own in _sets(batch.column(1), n):
                 a, b = _identity(own)
                 sizes.append(len(own))
                 h1.append(a)
                 h2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["doc", "size", "h1", "h2"])
+                sketches.append(_sketch(own))
+            bits = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
+            even = pa.array((np.arange(len(sketches) + 1) * (SKETCH // 64)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(even, bits)], names=["doc", "size", "h1", "h2", "sketch"])
 
     return run
 
@@ -95,7 +108,7 @@ def band_edges(num: int, den: int) -> np.ndarray:
     """The least size of each band."""
     edges = [1]
     while edges[-1] < 2**31:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * (den / num) ** BAND_POWER) + 1))
+        edges.append(max(edges[-1] + 1, int(edges[-1] * max(BAND_GROWTH, den / num)) + 1))
     return np.array(edges)
 
 
@@ -111,7 +124,7 @@ def allocate(size: int, h: int) -> tuple[int, int, int]:
     """
     spare = math.ceil(h * SPARE)
     m = h + 1 + spare
-    best = (m + MEETING * m * 2.0 ** (-size / m), m, 0, spare)
+    best = (m + MEETING * max(0.0, m * 2.0 ** (-size / m) - spare), m, 0, spare)
     for ones in range(1, min((h + 2) // 2, 32) + 1):  # more than that cost more signatures than a set has elements
         m = ones + max(0, h + 1 - 2 * ones)
         cost = m + ones * size / m + MEETING * m * 2.0 ** (-size / m)
@@ -150,27 +163,21 @@ def _signatures(own: np.ndarray, bands: list[tuple[int, int, int, int]], lows: n
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-_PLACE = np.uint64(0xA0761D6478BD642F)
-
-
 def _sign(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = plans(num, den)
         lows = np.array([b[0] for b in bands])
         for batch in batches:
-            h1, h2, sizes, keys, sketches = [], [], [], [], []
+            h1, h2, sizes, keys = [], [], [], []
             for own in _sets(batch.column(1), n):
                 a, b = _identity(own)
                 h1.append(a)
                 h2.append(b)
                 sizes.append(len(own))
-                sketches.append(np.packbits(np.bincount((mix(own ^ _PLACE) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64))
                 keys.append(_signatures(own, bands, lows, num, den).view(np.int64) if len(own) else np.zeros(0, np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            bits = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
-            even = pa.array((np.arange(len(sketches) + 1) * (SKETCH // 64)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.ListArray.from_arrays(even, bits)], names=["doc", "size", "h1", "h2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc", "size", "h1", "h2", "keys"])
 
     return run
 
@@ -277,11 +284,11 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
 def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``size`` (of its set) and ``component`` (least linked id) for each row with an id."""
     own = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    members = written(own.mapInArrow(_describe(n), "doc long, size long, h1 long, h2 long"), "sets")
-    signed = own.mapInArrow(_sign(n, num, den), "doc long, size long, h1 long, h2 long, keys array<long>, sketch array<long>")
-    classes = signed.filter("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select("rep", "size", "keys", "sketch")
-    classes = written(classes, "classes")
-    facts = classes.select("rep", "size", "sketch")
+    described = written(own.mapInArrow(_describe(n), "doc long, size long, h1 long, h2 long, sketch array<long>"), "sets")
+    members, identity = described.drop("sketch"), ["h1", "h2", "size"]
+    facts = written(described.filter("size > 0").groupBy(*identity).agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "facts")
+    signed = own.mapInArrow(_sign(n, num, den), "doc long, size long, h1 long, h2 long, keys array<long>")
+    classes = signed.filter("size > 0").groupBy(*identity).agg(F.min("doc").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
     stars = written(_with_hub(_kept_signatures(classes, num, den)), "stars")
     pairs = written(_sketched(stars.select("x", "hub").distinct(), facts), "pairs")
     near = F.col("gap") <= NEAR * F.col("size")
@@ -294,9 +301,8 @@ def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id:
     late = _verified(still.filter(alike), own, n, num, den, "late").filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
     if not late.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
-    labelled = members.filter("size > 0").groupBy("h1", "h2", "size").agg(F.min("doc").alias("rep"))
-    labelled = labelled.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"))
-    return members.join(labelled, ["h1", "h2", "size"], "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
+    labelled = facts.select("rep", *identity).join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"))
+    return members.join(labelled, identity, "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
 
 
 def op3_ngram_join(spark, folder: str) -> DataFrame:

@@ -30,6 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is written now
     return spark.read.schema(schema).parquet(path)
 
 
