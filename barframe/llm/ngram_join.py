@@ -39,7 +39,7 @@ from barframe.llm.text import gram_hashes, mix, slices, utf8_parts, word_hashes
 #: Sizes of a band reach up to this times its least (and at least so far that partners are in the next band).
 BAND_GROWTH = 1.4
 #: Spare segments for each element that may differ.
-SPARE = 0.3
+SPARE = 0.2
 #: Cost of a chance meeting, in signatures.  A segment meets others by chance with a probability that
 #: halves with each element it holds; as many meetings as there are spare segments are left out.
 MEETING = 8
@@ -289,7 +289,7 @@ def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id:
     facts = written(described.filter("size > 0").groupBy(*identity).agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "facts")
     signed = own.mapInArrow(_sign(n, num, den), "doc long, size long, h1 long, h2 long, keys array<long>")
     classes = signed.filter("size > 0").groupBy(*identity).agg(F.min("doc").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
-    stars = written(_with_hub(_kept_signatures(classes, num, den)), "stars")
+    stars = written(_with_hub(written(_kept_signatures(classes, num, den), "kept")), "stars")
     pairs = written(_sketched(stars.select("x", "hub").distinct(), facts), "pairs")
     near = F.col("gap") <= NEAR * F.col("size")
     tested = _verified(pairs.filter(near), own, n, num, den, "tested")
