@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every run of ``seed_words`` words of a test item is a seed.  All documents are counted for each
-seed, and of each window of neighbouring seeds of an item the rarest one is kept, so an item stays
-covered from end to end.  A document that holds a kept seed is aligned with the seed's item around
-the place of the seed, word by word; the alignment's score over the item's best possible score
-is the ``overlap``.
+Every run of ``seed_words`` words of a test item is a seed.  A document that holds any seed of an
+item is aligned with the item around the places of its seeds, word by word; the alignment's score
+over the item's best possible score is the ``overlap``.  So a copy is found whichever of its words
+are edited, as long as one seed stays.  Seeds are often common phrases: before an alignment,
+the words that an item has in common with the stretch of text bound its score, and what cannot
+reach the limit is not aligned.
 
 The test items are read in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for
 each block, so what is broadcast is bounded whatever the benchmark's size.  Null and empty texts and
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from barframe.llm.text import gram_hashes, slices, utf8_parts, word_hashes
 
 SEED_WORDS = 4
-#: Of so many neighbouring seeds of an item the rarest is kept.
-WINDOW = 3
 #: Words of test items that are broadcast at once.
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -106,36 +105,6 @@ def _found(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return maybe[hashes[at] == grams[maybe]]
 
 
-def seed_counts(documents: DataFrame, text: str, seeds: list[int], n: int, sizes: list[int]) -> dict[int, int]:
-    """How often each seed stands in all documents (as many numbers as there are seeds)."""
-    shared = documents.sparkSession.sparkContext.broadcast(np.unique(np.array(seeds, np.int64).view(np.uint64)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.value
-        total = np.zeros(len(hashes), np.int64)
-        for batch in batches:
-            for _, words, at, grams, start in _batches(batch.column(0), n):
-                for g, _ in _all_grams(words, at, grams, start, sizes):
-                    np.add.at(total, np.searchsorted(hashes, g[_found(hashes, g)]), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(total[some])], names=["seed", "n"])
-
-    rows = documents.select(text).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    return {r.seed: r.n for r in rows}
-
-
-def rare_seeds(seeds: list[tuple[int, int, int]], counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Of each window of an item's neighbouring seeds the rarest (ties: the smaller hash)."""
-    by_item: dict[int, list[tuple[int, int, int]]] = {}
-    for seed in seeds:
-        by_item.setdefault(seed[1], []).append(seed)
-    kept = set()
-    for own in by_item.values():
-        for k in range(max(1, len(own) - window + 1)):
-            kept.add(min(own[k : k + window], key=lambda s: (counts.get(s[0], 0), s[0], s[2])))
-    return sorted(kept)
-
-
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of a bounded number of words (an item of more words is a block)."""
     size = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+")).cast("long")
@@ -166,7 +135,7 @@ def _align(shared, n: int, sizes: list[int], leaked: float):
                         for item, offset in owners[int(g[begin[k] + place])]:
                             spots.setdefault((k, item), []).append(place - offset)
                 for (k, item), diagonals in spots.items():
-                    found = _best(words_of[item], words[at[k] : at[k + 1]], diagonals)
+                    found = _best(words_of[item], words[at[k] : at[k + 1]], diagonals, leaked)
                     share = found[0] / (MATCH * len(words_of[item]))
                     if share >= leaked and (len(words_of[item]) >= LEAST_WORDS or share == 1):
                         rows.append((docs[first + k], item, round(share, 6), found[1], found[2]))
@@ -176,8 +145,11 @@ def _align(shared, n: int, sizes: list[int], leaked: float):
     return run
 
 
-def _best(item: np.ndarray, words: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
-    """The best alignment near any of the diagonals; diagonals close together share a stretch."""
+def _best(item: np.ndarray, words: np.ndarray, diagonals: list[int], leaked: float) -> tuple[int, int, int]:
+    """The best alignment near any of the diagonals; diagonals close together share a stretch.
+
+    A stretch that lacks too many of the item's words to reach ``leaked`` is left out.
+    """
     best, reach, margin = (0, 0, 0), None, len(item) // 2 + 8
     stretches: list[list[int]] = []
     for d in sorted(set(diagonals)):
@@ -188,7 +160,10 @@ def _best(item: np.ndarray, words: np.ndarray, diagonals: list[int]) -> tuple[in
         reach = stretches[-1][1]
     for low, high in stretches:
         low = max(0, low)
-        score, begin, end = smith_waterman(item, words[low : max(low, high)])
+        stretch = words[low : max(low, high)]
+        if np.isin(item, stretch).sum() < leaked * len(item):
+            continue
+        score, begin, end = smith_waterman(item, stretch)
         best = max(best, (score, low + begin, low + end), key=lambda x: x[0])
     return best
 
@@ -203,9 +178,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
         if not seeds:
             continue
         sizes = _short_sizes(words_of, seed_words)
-        kept = rare_seeds(seeds, seed_counts(own, "text", [s[0] for s in seeds], seed_words, sizes))
         owners: dict[int, list[tuple[int, int]]] = {}
-        for seed, item, place in kept:
+        for seed, item, place in seeds:
             owners.setdefault(seed % 2**64, []).append((item, place))
         shared = spark.sparkContext.broadcast((np.array(sorted(owners), np.uint64), owners, words_of))
         part = own.mapInArrow(_align(shared, seed_words, sizes, leaked), "doc long, item long, overlap double, begin long, end long")

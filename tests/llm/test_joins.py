@@ -150,6 +150,19 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontaminate.find_leaks(table.filter("doc_id > 99"), bench).count() == 0
 
 
+@pytest.mark.parametrize("every", [5, 6])
+@pytest.mark.parametrize("size", [20, 40, 60])
+def test_copies_with_regular_edits_are_found(spark, every, size):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(size))) for k in range(8)]
+    edited = [" ".join("new" if j % every == every - 1 else w for j, w in enumerate(t.split())) for _, t in items]
+    docs = [(k, f"before it {t} and after") for k, t in enumerate(edited)] + [(100, items[0][1]), (101, "just " * 50)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc, r.item): r.overlap for r in decontaminate.find_leaks(table, bench).collect()}
+    assert set(found) == {(k, k) for k in range(8)} | {(100, 0)} and found[100, 0] == 1.0
+    words = [t.split() for _, t in items]
+    assert all(found[k, k] == round(plain_alignment(words[k], edited[k].split()) / (2 * size), 6) for k in range(8))
+
+
 # --- search -------------------------------------------------------------------------------
 
 
