@@ -1,13 +1,22 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Pages of one host share a template.  Its tokens (tags with the path of elements they stand in, and
-words of boilerplate at such a path) stand equally often in the same pages, so tokens with equal
-occurrence vectors form an equivalence class.  Spark counts, for each host and token, the pages,
-the occurrences and a linear sketch of the occurrence vector (the sum over pages of a page hash
-times the count), all combined before the shuffle; equal sketches mean equal vectors.  Classes
-that are frequent and ordered in a page nest into the host's template.  A page is read with it:
-the words of template classes are dropped, and the slots between template tags remain.  Of these
-the slots in content elements are the main text.
+Pages of one host share a template.  A page is a sequence of tokens: tags with the path of elements
+they stand in, and words at such a path.  Template tokens stand equally often in the same pages, so
+tokens with equal occurrence vectors form an equivalence class.  A class is part of the host's
+template when it is frequent and encloses text that varies; constant text alone (an article
+that many pages copy) is content.  Pages of a host that are equal but for comments, scripts and
+styles count once.
+
+Spark counts, for each host and token, the pages, the occurrences and linear sketches (sums over
+pages of a page hash times the count, the hash itself, and the tokens before the first place), all
+combined before the shuffle; equal sketches mean equal vectors, and sketches of two tokens tell
+whether what stands between them varies.  A first pass counts hash buckets of tokens instead of
+tokens: what can't be frequent is in a bucket that isn't, so the second pass leaves it out.
+
+A page is read with its template: a class holds where its tokens come in their order, again and
+again, and nest with the other classes; of two that cross, the one of fewer pages (or more
+occurrences) gives way.  Its words are dropped, and the slots between template tokens remain.  Of
+these the slots in content elements are the main text.
 
 A slot is content unless it lies in an element that is boilerplate by its name (nav, header, footer,
 aside, form and the like) or by a word of its class, id or role.  Where a page has an article or
@@ -19,7 +28,7 @@ Null or empty pages have empty texts; pages without a host form a host of their
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +43,14 @@ from barframe.llm.shared import written
 #: A class belongs to a template when it stands in this share of a host's pages, and in this many.
 SHARE = 0.8
 LEAST_PAGES = 8
-#: Tokens that a template's class of words needs.
+#: Tokens that a template's class needs.
 LEAST_CLASS = 2
 #: Template tokens of all hosts that are broadcast (8 bytes each) instead of shuffling the pages.
 BROADCAST_TOKENS = 1 << 20
+#: Hash buckets of a host's tokens, and the hosts whose buckets a task keeps at once.
+BUCKETS, HOSTS = 1 << 12, 1 << 10
+#: Sketches are sums modulo this prime.
+PRIME = (1 << 40) - 87
 
 BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "noscript", "template", "svg", "canvas", "object", "audio", "video", "head", "label", "fieldset"})
 CONTENT = frozenset({"article", "main"})
@@ -46,16 +59,18 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 _ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 _SCOPES = frozenset({"ul", "ol", "dl", "table", "article", "section", "div", "nav", "header", "footer", "aside", "main", "body", "html", "form", "blockquote"})
 _HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|comment\w*|discussion|disqus|replies|reply|sidebar|side-bar|widget\w*|menu\w*|nav\w*|breadcrumb\w*|footer|header|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|copyright|legal|disclaimer|complementary|contentinfo|navigation|search|alert\w*|teaser\w*|skip\w*)(?:$|[\s_-])")
-_BLANK = re.compile(r"\s+")
+_BLANK, _WORD = re.compile(r"\s+"), re.compile(r"\S+")
+#: What pages may differ in and still be equal: comments, scripts and styles.
+UNSEEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 
 
 class Slot:
-    """Text between two tags: its path of elements, its block, and whether it is content."""
+    """Text between two tags: its path of elements, its block, the tags before it, and whether it is content."""
 
-    __slots__ = ("path", "parts", "content", "inside", "block")
+    __slots__ = ("path", "parts", "content", "inside", "block", "at")
 
-    def __init__(self, path: str, content: bool, inside: bool, block: int):
-        self.path, self.parts, self.content, self.inside, self.block = path, [], content, inside, block
+    def __init__(self, path: str, content: bool, inside: bool, block: int, at: int):
+        self.path, self.parts, self.content, self.inside, self.block, self.at = path, [], content, inside, block, at
 
 
 def walk(html: str) -> tuple[list[Slot], list[str]]:
@@ -68,7 +83,7 @@ def walk(html: str) -> tuple[list[Slot], list[str]]:
         if kind == "text":
             if fresh:
                 top = stack[-1] if stack else ("", "", False, False)
-                slots.append(Slot("/".join(s[1] for s in stack[-6:]), not top[2], top[3], block))
+                slots.append(Slot("/".join(s[1] for s in stack[-6:]), not top[2], top[3], block, len(tags)))
                 fresh = False
             slots[-1].parts.append(name)
             continue
@@ -109,38 +124,131 @@ def _end(stack: list[tuple[str, str, bool, bool]], family: frozenset[str]) -> No
             return
 
 
-def page_tokens(html: str) -> Counter:
-    """How often each template candidate stands in a page: tags, and words that elements don't place, with paths.
-
-    Text in boilerplate elements is left out anyway, and text in an article stays anyway, so
-    their words need no counting.
-    """
-    slots, tags = walk(html)
-    found = Counter(f"<{t}>" for t in tags)
-    if not any(s.inside and s.content for s in slots):
-        for slot in slots:
-            if slot.content:
-                found.update(f"{slot.path}:{word}" for word in decoded("".join(slot.parts)).split())
-    return found
+_KNOWN: dict[str, dict[str, int]] = {}
+_KNOWN_WORDS = [0]
 
 
 def _hash(token: str) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")))))
 
 
+def _hashes(path: str, words: list[str]) -> list[int]:
+    """Hashes of words at a path; those seen before come from a table of bounded size."""
+    if _KNOWN_WORDS[0] > 1 << 18:
+        _KNOWN.clear()
+        _KNOWN_WORDS[0] = 0
+    table = _KNOWN.setdefault(path, {})
+    out = []
+    for word in words:
+        found = table.get(word)
+        if found is None:
+            found = table[word] = _hash(f"{path}:{word}")
+            _KNOWN_WORDS[0] += 1
+        out.append(found)
+    return out
+
+
+def page_tokens(slots: list[Slot], tags: list[str]) -> tuple[list[int], list[int]]:
+    """The hashes of a page's tags and words in order, and where the words of each slot begin."""
+    found, begins, done = [], [], 0
+    for slot in slots:
+        found += _hashes("<", tags[done : slot.at])
+        done = slot.at
+        begins.append(len(found))
+        found += _hashes(slot.path, decoded("".join(slot.parts)).split())
+    return found + _hashes("<", tags[done:]), begins
+
+
+def _bucket(tokens_of: np.ndarray) -> np.ndarray:
+    return tokens_of & (BUCKETS - 1)
+
+
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each host, the pages, and the pages that hold a token of each bucket."""
+    total: dict[str, tuple[list[int], np.ndarray]] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(host, n[0], zlib.compress(own.tobytes(), 1)) for host, (n, own) in total.items()]
+        total.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 3, [pa.string(), pa.int64(), pa.binary()])], names=["host", "n", "held"])
+
+    for batch in batches:
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            if host not in total:
+                if len(total) >= HOSTS:
+                    yield flush()
+                total[host] = ([0], np.zeros(BUCKETS, np.uint32))
+            n, own = total[host]
+            n[0] += 1
+            own[np.unique(_bucket(np.array(page_tokens(*walk(html))[0], np.int64)))] += 1
+    yield flush()
+
+
+def _often(table: pa.Table) -> pa.Table:
+    """The buckets of one host that can hold template tokens."""
+    n = sum(table.column("n").to_pylist())
+    held = np.zeros(BUCKETS, np.int64)
+    for one in table.column("held").to_pylist():
+        held += np.frombuffer(zlib.decompress(one), np.uint32)
+    found = np.flatnonzero((held >= LEAST_PAGES) & (held >= SHARE * n))
+    return pa.table({"host": table.column("host").slice(0, 1), "all": pa.array([n], pa.int64()), "buckets": pa.array([found.tolist()], pa.list_(pa.int32()))})
+
+
+_COUNTS = "host string, all long, token long, pages long, times long, sketch long, marks long, at long, before long, marked long"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a batch: by host and token, the pages, occurrences and sketch."""
+    """Partial counts of a batch, by host and token, for tokens of frequent buckets.
+
+    Besides pages, times and sketch: the pages' marks, the first places, the sum of all tokens
+    before them, and these sums times the marks.
+    """
     for batch in batches:
-        total: dict[tuple[str, int], list[int]] = {}
-        for page, host, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            mark = xxhash.xxh3_64_intdigest(str(page).encode())
-            for token, n in page_tokens(html or "").items():
-                own = total.setdefault((host, _hash(token)), [0, 0, 0])
+        total: dict[tuple[str, int, int], list[int]] = {}
+        masks: dict[str, np.ndarray] = {}
+        buckets = batch.column("buckets")
+        for k, (mark, host, size, html) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("mark", "host", "all", "html")))):
+            if host not in masks:
+                masks[host] = np.zeros(BUCKETS, bool)
+                masks[host][buckets[k].as_py()] = True
+            found = np.array(page_tokens(*walk(html))[0], np.int64)
+            before = np.cumsum(found.view(np.uint64) >> np.uint64(24)) - (found.view(np.uint64) >> np.uint64(24))
+            some = np.flatnonzero(masks[host][_bucket(found)])
+            mark %= PRIME
+            tokens_of, first, times = np.unique(found[some], return_index=True, return_counts=True)
+            at = some[first]
+            for token, n, place, h in zip(tokens_of.tolist(), times.tolist(), at.tolist(), before[at].tolist()):
+                own = total.setdefault((host, size, token), [0] * 7)
+                h %= PRIME
                 own[0] += 1
                 own[1] += n
-                own[2] = (own[2] + (mark >> 24) * n) % (1 << 40)
+                own[2] = (own[2] + mark * n) % PRIME
+                own[3] = (own[3] + mark) % PRIME
+                own[4] += place
+                own[5] = (own[5] + h) % PRIME
+                own[6] = (own[6] + mark * h) % PRIME
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([total[k][c] for k in keys], pa.int64()) for c in range(3)]], names=["host", "token", "pages", "times", "sketch"])
+        columns = [pa.array([k[0] for k in keys], pa.string()), *[pa.array([k[c] for k in keys], pa.int64()) for c in (1, 2)], *[pa.array([total[k][c] for k in keys], pa.int64()) for c in range(7)]]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+
+def varies(a: dict, b: dict) -> bool:
+    """Whether the tokens between the first places of two tokens of a class differ among its pages."""
+    between, marked = b["before"] - a["before"], b["marked"] - a["marked"]
+    return (a["marks"] * between - a["pages"] * marked) % PRIME != 0
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """The template of one host: its classes, outer ones first, each in order."""
+    groups: dict[tuple[int, int, int], list[dict]] = {}
+    for row in table.to_pylist():
+        groups.setdefault((-row["pages"], row["times"], row["sketch"]), []).append(row)
+    template = []
+    for _, own in sorted(groups.items()):
+        own.sort(key=lambda r: (r["at"], r["token"]))
+        if len(own) >= LEAST_CLASS and any(varies(a, b) for a, b in zip(own, own[1:])):
+            template.append([r["token"] for r in own])
+    return pa.table({"host": table.column("host").slice(0, 1), "template": pa.array([template], pa.list_(pa.list_(pa.int64())))})
 
 
 def host_of(url: Column) -> Column:
@@ -148,40 +256,85 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """For each host, the tokens of its template: those of frequent classes of enough tokens.
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``host``, ``html`` and ``mark`` of pages, equal ones of a host once (only these are shuffled)."""
+    html = F.coalesce("html", F.lit(""))
+    seen = F.regexp_replace(html, UNSEEN, "")
+    keyed = pages.select("host", html.alias("html"), F.xxhash64(seen).alias("mark"), F.length(seen).alias("long"))
+    copied = written(keyed.groupBy("host", "mark", "long").count().filter("count > 1").drop("count"), "copied-pages")
+    if copied.count() <= BROADCAST_TOKENS:
+        copied = F.broadcast(copied)
+    by = ["host", "mark", "long"]
+    once = keyed.join(copied, by, "left_anti")
+    return once.select("host", "html", "mark").union(keyed.join(copied, by, "left_semi").groupBy(by).agg(F.min("html").alias("html")).select("host", "html", "mark"))
 
-    ``pages`` has ``page``, ``host`` and ``html``.  A host's template is bounded by what a page
-    holds, as each of its tokens stands in most of the host's pages.
-    """
-    counted = pages.mapInArrow(_count, "host string, token long, pages long, times long, sketch long")
-    tokens_of = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), (F.sum("sketch") % (1 << 40)).alias("sketch"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = tokens_of.filter(F.col("pages") >= LEAST_PAGES).join(sizes, "host").filter(F.col("pages") >= SHARE * F.col("all"))
-    classes = often.groupBy("host", "pages", "times", "sketch").agg(F.collect_set("token").alias("tokens")).filter(F.size("tokens") >= LEAST_CLASS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
+def templates(pages: DataFrame) -> DataFrame:
+    """For each host, the classes of its template; ``pages`` has ``host`` and ``html``.
 
-def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
+    A host's template is bounded by what a page holds, as each of its tokens stands in most of the
+    host's pages.
+    """
+    own = distinct_pages(pages)
+    held = own.select("host", "html").mapInArrow(_count_buckets, "host string, n long, held binary").groupBy("host").applyInArrow(_often, "host string, all long, buckets array<int>")
+    held = written(held.filter(F.size("buckets") > 0), "token-buckets")
+    if (held.agg(F.sum(F.size("buckets"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        held = F.broadcast(held)
+    counted = own.join(held, "host").select("mark", "host", "all", "buckets", "html").mapInArrow(_count, _COUNTS)
+    sums = [F.sum(c).alias(c) for c in ("pages", "times", "at")] + [(F.sum(c) % PRIME).alias(c) for c in ("sketch", "marks", "before", "marked")]
+    often = counted.groupBy("host", "all", "token").agg(*sums).filter((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= SHARE * F.col("all")))
+    return often.drop("all").groupBy("host").applyInArrow(_classes, "host string, template array<array<long>>").filter(F.size("template") > 0)
+
+
+def placed(tokens_of: list[int], template: list[list[int]]) -> set[int]:
+    """The places of a page's template tokens: classes that come in order and nest."""
+    role = {token: (c, k) for c, own in enumerate(template) for k, token in enumerate(own)}
+    spots = [(at, *role[token]) for at, token in enumerate(tokens_of) if token in role]
+    while spots:
+        open_classes: list[list[int]] = []
+        bad = None
+        for _, c, k in spots:
+            top = open_classes[-1] if open_classes else None
+            if k == 0:
+                open_classes.append([c, 1])
+            elif top and top == [c, k]:
+                top[1] += 1
+            else:  # classes are listed outer first, so the later one gives way
+                bad = max(c, top[0]) if top else c
+                break
+            if open_classes[-1][1] == len(template[c]):
+                open_classes.pop()
+        if bad is None and open_classes:
+            bad = max(c for c, _ in open_classes)
+        if bad is None:
+            break
+        spots = [s for s in spots if s[1] != bad]
+    return {s[0] for s in spots}
+
+
+def main_text(html: str | None, template: list[list[int]] = ()) -> str:
     """The content slots of a page, block by block."""
     if not html:
         return ""
-    slots, _ = walk(html)
+    slots, tags = walk(html)
     inside = any(s.inside and s.content for s in slots)
+    tokens_of, begins = page_tokens(slots, tags) if template else ([], [0] * len(slots))
+    gone = placed(tokens_of, template)
     blocks: dict[int, list[str]] = {}
-    for slot in slots:
+    for slot, begin in zip(slots, begins):
         if not slot.content or inside and not slot.inside:
             continue
         text = decoded("".join(slot.parts))
-        if template and not inside:
-            text = " ".join(w for w in text.split() if _hash(f"{slot.path}:{w}") not in template)
+        if gone:
+            place = iter(range(begin, begin + len(text)))
+            text = _WORD.sub(lambda m: "" if next(place) in gone else m.group(), text)
         blocks.setdefault(slot.block, []).append(text)
     lines = (_BLANK.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, frozenset[int]] = {}
+    known: dict[str, list[list[int]]] = {}
     for batch in batches:
         texts = []
         hosts, templates_of = batch.column("host").to_pylist(), batch.column("template")
@@ -189,16 +342,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if host not in known:
                 if len(known) > 256:
                     known.clear()
-                known[host] = frozenset(templates_of[k].as_py() or ())
+                known[host] = templates_of[k].as_py() or []
             texts.append(main_text(html, known[host]))
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", into: str = "text") -> DataFrame:
     """``pages`` without the markup column, with the main text in ``into``."""
-    keyed = pages.select(F.col(page_id).alias("page"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    keyed = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     learnt = written(templates(keyed), "templates")
-    tokens_of_all = learnt.agg(F.sum(F.size("template"))).first()[0] or 0
+    tokens_of_all = learnt.agg(F.sum(F.size(F.flatten("template")))).first()[0] or 0
     if tokens_of_all <= BROADCAST_TOKENS:  # else the pages are shuffled by host
         learnt = F.broadcast(learnt)
     kept = [c for c in pages.columns if c not in (html, into)]

@@ -57,6 +57,15 @@ def test_template_words_go_where_no_element_tells(spark):
     assert html_extract.extract_main_text(pages.filter("page_id > 99")).count() == 0
 
 
+def test_templates_are_read_off_pages_with_articles_too(spark):
+    rows = [(k, "http://h.example/", f"<main><p>Written by a{k} on day{k}</p><p>It was day{k} {'and ' * (k % 3)}so</p></main>") for k in range(12)]
+    rows += [(50, "http://h.example/", "<main><p>on by Written notes</p></main>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert got[5].split() == "a5 day5 day5 and and".split() and got[3].split() == "a3 day3 day3".split()
+    assert got[50] == "on by Written notes"  # out of order, so no template words
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = docs
