@@ -57,6 +57,19 @@ def test_template_words_go_where_no_element_tells(spark):
     assert html_extract.extract_main_text(pages.filter("page_id > 99")).count() == 0
 
 
+def test_copied_articles_stay_and_blanks_between_slots_stay(spark):
+    story = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, "http://copies.example/", f"<div>{story}</div><!-- {k} --><script>track({k})</script>") for k in range(30)]
+    rows += [(100 + k, "http://copies.example/", f"<div>other{k} text{k}</div>") for k in range(3)]
+    rows += [(200 + k, "http://most.example/", f"<nav>go{k} there{k}</nav><div>{story if k else 'lone page'}</div>") for k in range(12)]
+    rows += [(300 + k, "http://blank.example/", f"<div>Welcome to our site</div><div>by n{k} on Hello{k} <b>big{k}</b> world{k}</div>") for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert all(got[k] == story for k in range(30)) and got[101] == "other1 text1"
+    assert all(got[200 + k] == story for k in range(1, 12)) and got[200] == "lone page"
+    assert all(got[300 + k] == f"n{k} Hello{k} big{k} world{k}" for k in range(12))
+
+
 def test_templates_are_read_off_pages_with_articles_too(spark):
     rows = [(k, "http://h.example/", f"<main><p>Written by a{k} on day{k}</p><p>It was day{k} {'and ' * (k % 3)}so</p></main>") for k in range(12)]
     rows += [(50, "http://h.example/", "<main><p>on by Written notes</p></main>")]
