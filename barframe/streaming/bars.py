@@ -1,9 +1,11 @@
 """Structured Streaming over ticks.
 
+A table's files are read in one batch, as their times may overlap; what files come later is late.
 ``closed_bars`` emits a bar once the watermark has passed its end.  ``forming_average`` keeps, for
 each symbol, what is committed (bars that are closed) apart from the working value of the forming
-bar: a further tick of the same bar replaces the working value, a tick of a new bar commits it,
-a tick of an older bar is dropped.
+bar: further ticks of the same bar replace the working value where they are newer, ticks of a new
+bar commit it, ticks of an older bar are dropped.  Spark combines the ticks of a batch into bars
+first, so the stateful step sees no more rows than bars.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,10 +22,13 @@ from barframe.sources.bars import bucket, instants, timeframe_seconds
 from barframe.sources.folders import shared_path
 
 
-def tick_stream(spark: SparkSession, folder: str, table: str = "events", files_per_trigger: int = 1) -> DataFrame:
-    """A stream of a Parquet table's files."""
+def tick_stream(spark: SparkSession, folder: str, table: str = "events", files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of a Parquet table's files: all that are there in one batch, unless a number is given."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{table}.parquet*")
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.parquet(f"{folder}/{table}.parquet*")
     return instants(stream, *[n for n, kind in stream.dtypes if kind == "timestamp_ntz"])
 
 
@@ -35,6 +41,27 @@ def closed_bars(ticks: DataFrame, symbol: str, time: str, price: str, tie: str,
     return made.select("symbol", F.col("w.start").alias("time"), "open", "high", "low", "close", "volume")
 
 
+def _partial_bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The newest price and the number of ticks for each symbol and bar of a task."""
+    held: list[pa.Table] = []
+
+    def combined() -> pa.Table:
+        rows = pa.concat_tables(held).sort_by([("at", "ascending"), ("tie", "ascending")])
+        made = rows.group_by(["symbol", "bar"], use_threads=False).aggregate([("at", "last"), ("tie", "last"), ("price", "last"), ("ticks", "sum")])
+        return pa.table({"symbol": made["symbol"], "bar": made["bar"], "at": made["at_last"], "tie": made["tie_last"], "price": made["price_last"], "ticks": made["ticks_sum"]})
+
+    size = limit = 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size > limit:
+            held[:] = [combined()]
+            size = held[0].num_rows
+            limit = 2 * size + 100_000
+    if held:
+        yield from combined().combine_chunks().to_batches()
+
+
 def forming_average(ticks: DataFrame, symbol: str, time: str, price: str, tie: str, n: int, timeframe: str = "1h") -> DataFrame:
     """The exponential average of closes with the forming bar's last price, after each batch of ticks.
 
@@ -43,7 +70,7 @@ def forming_average(ticks: DataFrame, symbol: str, time: str, price: str, tie: s
     alpha = 2 / (n + 1)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bar, count, total, committed, close, seen = state.get if state.exists else (None, 0, 0.0, None, None, 0)
+        bar, count, total, committed, close, seen, newest, newest_tie = state.get if state.exists else (None, 0, 0.0, None, None, 0, None, None)
 
         def value_with(x: float) -> float | None:
             if count + 1 <= n:
@@ -52,20 +79,24 @@ def forming_average(ticks: DataFrame, symbol: str, time: str, price: str, tie: s
 
         # Spark may split a key's rows; they are put in order here
         rows = pd.concat(list(batches)).sort_values(["bar", "at", "tie"])
-        for start, x in zip(rows["bar"], rows["price"]):
+        for start, at, tie_of, x, n_ticks in zip(*(rows[c].tolist() for c in ("bar", "at", "tie", "price", "ticks"))):
             if bar is not None and start < bar:
                 continue
             if bar is not None and start > bar:  # commit
                 committed, total, count = value_with(close), total + close, count + 1
-                seen = 0
-            bar, close, seen = int(start), float(x), seen + 1
+                seen, newest = 0, None
+            if newest is None or (at, tie_of) >= (newest, newest_tie):
+                close, newest, newest_tie = x, at, tie_of
+            bar, seen = start, seen + n_ticks
         if bar is None:
             return
-        state.update((bar, count, total, committed, close, seen))
+        state.update((bar, count, total, committed, close, seen, newest, newest_tie))
         yield pd.DataFrame({"symbol": [key[0]], "bar": [bar], "close": [close], "value": [value_with(close)], "bars": [count + 1], "ticks": [seen]})
 
-    rows = ticks.filter(F.col(price).isNotNull()).select(F.col(symbol).alias("symbol"), F.unix_micros(bucket(F.col(time), timeframe)).alias("bar"), F.unix_micros(F.col(time)).alias("at"), F.col(tie).cast("long").alias("tie"), F.col(price).cast("double").alias("price"))
-    out = rows.groupBy("symbol").applyInPandasWithState(run, "symbol string, bar long, close double, value double, bars long, ticks long", "bar long, count long, total double, committed double, close double, seen long", "update", GroupStateTimeout.NoTimeout)
+    known = ticks.filter(F.col(price).isNotNull() & F.col(time).isNotNull())
+    rows = known.select(F.col(symbol).alias("symbol"), F.unix_micros(bucket(F.col(time), timeframe)).alias("bar"), F.unix_micros(F.col(time)).alias("at"), F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 63))).alias("tie"), F.col(price).cast("double").alias("price"), F.lit(1).cast("long").alias("ticks"))
+    partial = rows.mapInArrow(_partial_bars, rows.schema)
+    out = partial.groupBy("symbol").applyInPandasWithState(run, "symbol string, bar long, close double, value double, bars long, ticks long", "bar long, count long, total double, committed double, close double, seen long, newest long, newest_tie long", "update", GroupStateTimeout.NoTimeout)
     return out.select("symbol", F.timestamp_micros("bar").alias("time"), "close", "value", "bars", "ticks")
 
 
