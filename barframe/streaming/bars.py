@@ -52,7 +52,7 @@ def _partial_bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     size = limit = 0
     for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
+        held.append(pa.table({c: batch.column(c) for c in batch.schema.names}))  # without what Spark says of nulls
         size += batch.num_rows
         if size > limit:
             held[:] = [combined()]

@@ -24,10 +24,10 @@ def test_streams_of_overlapping_files_equal_their_sql(spark, name, tmp_path):
 
 def test_ticks_are_combined_into_bars_before_the_state(spark):
     rng = random.Random(2)
-    ticks = [("hot", k % 7, rng.randrange(1000), k, float(k), 1) for k in range(30_000)]
-    table = spark.createDataFrame(ticks, "symbol string, bar long, at long, tie long, price double, ticks long").repartition(3)
+    ticks = [("hot", k % 7, rng.randrange(1000), k, float(k)) for k in range(60_000)]
+    table = spark.createDataFrame(ticks, "symbol string, bar long, at long, tie long, price double").repartition(3).withColumn("ticks", F.lit(1).cast("long"))
     got = table.mapInArrow(_partial_bars, table.schema)
     assert got.count() == 21
     newest = got.groupBy("bar").agg(F.max_by("price", F.struct("at", "tie")).alias("price"), F.sum("ticks").alias("n")).collect()
     assert {r.bar: r.price for r in newest} == {b: max((t for t in ticks if t[1] == b), key=lambda t: t[2:4])[4] for b in range(7)}
-    assert sum(r.n for r in newest) == 30_000
+    assert sum(r.n for r in newest) == 60_000
