@@ -28,6 +28,8 @@ END_ID = 0
 BUCKETS = 512
 DIMENSIONS = 4
 BITS = 8
+#: Bytes of ids that a partition is to hold.
+PARTITION_BYTES = 32 << 20
 #: Sequences of a partition are numbered from its own multiple of this.
 PARTITION_SHIFT = 33
 
@@ -78,9 +80,9 @@ def _encode(path: str):
         own, signs = encoder(path), projection()
         end = np.array([END_ID], own.kind).tobytes()
         for batch in batches:
-            ids = [own.encode(t) + end for t in batch.column(1).to_pylist()]
+            ids = [x + end for x in own.encode(batch.column(1).to_pylist())]
             keys = [document_key(np.frombuffer(x, own.kind), signs) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["doc", "key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc", "key", "size", "ids"])
 
     return run
 
@@ -139,8 +141,9 @@ def _pack(path: str, length: int):
 def pack_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces: ``doc``, ``start``, ``length``, ``ids`` (little-endian, 32 bits), ``doc_tokens``, ``sequence_id``, ``offset``."""
     path = vocabulary or default_vocabulary()
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = written(documents.select(F.col(doc_id).cast("long"), text).mapInArrow(_encode(path), "doc long, key long, ids binary"), "tokens")
+    encoded = written(documents.select(F.col(doc_id).cast("long"), text).mapInArrow(_encode(path), "doc long, key long, size long, ids binary"), "tokens")
+    volume = encoded.agg(F.sum("size")).first()[0] or 0
+    partitions = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), volume // PARTITION_BYTES)
     ordered = encoded.repartitionByRange(partitions, "key", "doc").sortWithinPartitions("key", "doc").select("doc", "ids")
     return ordered.mapInArrow(_pack(path, length), "doc long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -213,7 +213,6 @@ def test_pieces_round_trip_without_padding(spark):
     docs = corpus() + [(900, "a <|endoftext|> b 中文   x"), (901, "  it's  12 ½ 3rd\t\n\n"), (902, "it's")]
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("ids", F.lit(1))
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     want = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for d, t in docs}
     sequences, own = defaultdict(list), defaultdict(dict)
     for r in packing.pack_documents(table, length=128).collect():
