@@ -2,24 +2,29 @@
 
 Two sets link when their similarity is at least ``num / den``.  Sets of equal content are one
 class from the start.  Sizes fall into bands.  Within a band at most H elements can differ, so
-when hashing spreads the elements over m segments, one segment differs by no more than its share:
+when hashing spreads the elements over segments, one segment differs by no more than its share:
 none at all ("full" segments) or one element ("deletion" segments, whose neighbourhood is the
-segment and all that is left of it when one element goes).  ``allocate`` picks for each band the
-number of segments and what each of them may differ by, by the cost of the signatures and of
-their chance meetings.  Bands of full segments have spare segments, and each set leaves out as
-many of its most frequent signatures as there are spare ones: any two sets that link still share
-one, because both leave out from the same end of the same order.
-
-A signature's sets are not paired with each other.  Each is held against one hub: first by sketches
-(a bit for the parity of the elements of each hash value: no more bits differ than elements do),
+segment and all that is left of it when one element goes).  A full segment counts one and a
+deletion segment two towards the H + 1 that are needed; what a band has beyond that is spare, and
+each set leaves out as many of its most frequent full segments as are spare: any two sets that
+link still share a signature, because both leave out from the same end of the same order.
+``allocate`` picks for each band the segments of both kinds and the spare ones by the cost of the
+signatures and of their chance meetings, with the share of elements that several sets hold, as
+counted (exactly, for one in ``SAMPLED`` hash values of the universe; it steers cost alone).
+
+Signatures travel once, as sorted differences in pages of the hash range; a page gives back those
+that several sets hold.  A signature's sets are not paired with each other.  Each is held against one hub: first by
+sketches (a bit for the parity of the elements of each hash value: no more bits differ than elements do),
 then, unless those tell that the sets are far apart, by their texts.  Then
 components are formed, and only what can still join two components is looked at: sets that share
 a hub and also a rare element of their differences to it (x and y differ by the symmetric
 difference of their differences to the hub), or that share a signature and are both far from its
-hub.  All this is exact.
+hub.  A hub's sets are dealt over ``SALTS`` tasks.  All this is exact, up to equal 64-bit hashes of
+different shingles.
 
-Null and empty texts, and null ids, link with nothing; each row with an id that repeats gets the
-component of its own set.
+Null and empty texts link with nothing, nor do rows with a null id, whose component is null.  Each
+row with an id that repeats gets the component of its own set; where different sets have the same
+least id, they count as linked.
 """
 
 from __future__ import annotations
@@ -38,11 +43,18 @@ from barframe.llm.text import gram_hashes, mix, slices, utf8_parts, word_hashes
 
 #: Sizes of a band reach up to this times its least (and at least so far that partners are in the next band).
 BAND_GROWTH = 1.4
-#: Spare segments for each element that may differ.
-SPARE = 0.2
-#: Cost of a chance meeting, in signatures.  A segment meets others by chance with a probability that
-#: halves with each element it holds; as many meetings as there are spare segments are left out.
+#: Spare segments for each element that may differ, and deletion segments in a band: what the costs choose from.
+SPARES, ONES = (0.1, 0.2, 0.35), (0, 1, 2, 4, 8, 16, 32)
+#: Cost of a meeting of a signature with sets that don't link, in signatures.
 MEETING = 8
+#: One in so many hash values of elements is counted to learn the share that several sets hold.
+SAMPLED = 512
+#: Signatures of a page, and those that a task holds before it deals them out.
+PAGE, HELD = 1 << 21, 1 << 21
+#: A task sends so many of a signature's sets to its page; the page knows by two that it is shared, so the others go to any page.
+REPEATED = 2
+#: Tasks that a hub's sets are dealt over.
+SALTS = 32
 #: A set is near a hub when at most this share of its size differs; else it is far.
 NEAR = 0.8
 #: Bits of a sketch.
@@ -84,19 +96,25 @@ def _sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, h1, h2, sketches = [], [], [], []
+            sizes, h1, h2, sketches, some = [], [], [], [], []
             for own in _sets(batch.column(1), n):
                 a, b = _identity(own)
                 sizes.append(len(own))
                 h1.append(a)
                 h2.append(b)
                 sketches.append(_sketch(own))
+                some.append(own[own % np.uint64(SAMPLED) == 0].view(np.int64))
             bits = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
             even = pa.array((np.arange(len(sketches) + 1) * (SKETCH // 64)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(even, bits)], names=["doc", "size", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(even, bits), _lists(some)], names=["doc", "size", "h1", "h2", "sketch", "some"])
 
     return run
 
@@ -117,33 +135,44 @@ def differing(a: int, b: int, num: int, den: int) -> int:
     return (a + b) * (den - num) // (den + num)
 
 
-def allocate(size: int, h: int) -> tuple[int, int, int]:
+def allocate(size: int, h: int, shared: float = 0.0) -> tuple[int, int, int]:
     """Segments, how many of them may differ by one element, and spare ones, for sets of ``size``.
 
-    Full segments count one and deletion segments two towards the h + 1 that are needed.
+    ``shared`` is the chance that an element stands in other sets as well: a segment of e elements
+    meets others with ``shared`` ** e, one that may lack an element with that and e ways to lack it.
+    As many meetings as there are spare segments are left out.
     """
-    spare = math.ceil(h * SPARE)
-    m = h + 1 + spare
-    best = (m + MEETING * max(0.0, m * 2.0 ** (-size / m) - spare), m, 0, spare)
-    for ones in range(1, min((h + 2) // 2, 32) + 1):  # more than that cost more signatures than a set has elements
-        m = ones + max(0, h + 1 - 2 * ones)
-        cost = m + ones * size / m + MEETING * m * 2.0 ** (-size / m)
-        best = min(best, (cost, m, ones, 0))
-    return best[1:]
 
+    def cost(m: int, ones: int, spare: int) -> float:
+        e = size / m
+        full = shared**e
+        lacking = min(1.0, full + e * shared ** max(0.0, e - 1) * (1 - shared))
+        return m + ones * e + MEETING * (max(0.0, (m - ones) * full - spare) + ones * lacking)
+
+    choices = []
+    for spare in {math.ceil(h * s) for s in SPARES}:
+        for ones in ONES:
+            if 2 * ones <= h + 1:
+                choices.append((h + 1 + spare - ones, ones, spare))
+    return min(choices, key=lambda c: (cost(*c), c))
 
-def plans(num: int, den: int) -> list[tuple[int, int, int, int]]:
+
+def plans(num: int, den: int, shared: float = 0.0) -> list[tuple[int, int, int, int]]:
     """For each band: least size, segments, deletion segments, spare segments (no segments where only equal sets link)."""
     edges = band_edges(num, den)
     out = []
     for low, high in zip(edges[:-1], edges[1:]):
         h = differing(int(high) - 1, int(high) - 1, num, den)
-        out.append((int(low), *(allocate(int((low + high) // 2), h) if h else (0, 0, 0))))
+        out.append((int(low), *(allocate(int((low + high) // 2), h, shared) if h else (0, 0, 0))))
     return out
 
 
+#: Marks the band of a deletion segment's signature.
+_ONE = 0x80
+
+
 def _signatures(own: np.ndarray, bands: list[tuple[int, int, int, int]], lows: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of a set: in its own band, and in the next if a partner can be there."""
+    """The signatures of a set: in its own band, and in the next if a partner can be there.  The low byte is the band."""
     size, out = len(own), []
     k = int(np.searchsorted(lows, size, side="right")) - 1
     place, value = mix(own ^ np.uint64(0x2545F4914F6CDD1D)), mix(own ^ np.uint64(0x9E6C63D0876A9A47))
@@ -155,33 +184,95 @@ def _signatures(own: np.ndarray, bands: list[tuple[int, int, int, int]], lows: n
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, segment, value)
         seed = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-        keys = mix(sums ^ seed)
+        keys = mix(sums ^ seed) & ~np.uint64(0xFF) | np.uint64(band)
         if ones:
             some = segment < ones
-            keys = np.concatenate([keys, mix((sums[segment[some]] - value[some]) ^ seed[segment[some]])])
-        out.append(keys & ~np.uint64(0xFF) | np.uint64(band))
+            less = mix((sums[segment[some]] - value[some]) ^ seed[segment[some]]) & ~np.uint64(0xFF) | np.uint64(band)
+            keys = np.concatenate([keys[ones:], np.unique(np.concatenate([keys[:ones], less])) | np.uint64(_ONE)])
+        out.append(keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sign(n: int, num: int, den: int):
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: all low bytes, then all of the next, up to the highest that is used."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 0
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.reshape(-1).view("<u8")
+
+
+_DEALT = "to long, page long, n long, whole boolean, least long, places binary, sets binary"
+
+
+def _deal(keys: np.ndarray, sets: np.ndarray, pages: int) -> Iterator[pa.RecordBatch]:
+    """Signatures and their sets, by page; a place is the band and 32 bits of the hash."""
+    hashed = keys >> np.uint64(8)
+    page = (hashed >> np.uint64(32)) % np.uint64(pages)
+    place = (keys & np.uint64(0xFF)) << np.uint64(32) | hashed & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((place, page))
+    page, place, sets = page[order].astype(np.int64), place[order], sets[order]
+    new = np.ones(len(page), bool)
+    new[1:] = (page[1:] != page[:-1]) | (place[1:] != place[:-1])
+    begins = np.flatnonzero(new)
+    rest = np.arange(len(page)) - begins[np.cumsum(new) - 1] >= REPEATED
+    rows = []
+    for whole in (False, True):
+        some = np.flatnonzero(rest == whole)
+        cuts = np.flatnonzero(np.diff(page[some])) + 1
+        for own in np.split(some, cuts) if len(some) else []:
+            least = int(sets[own].min())
+            here = int(page[own[0]])
+            to = pages + (here * 0x9E3779B1 + least & 0x7FFFFFFF) % pages if whole else here
+            rows.append((to, here, len(own), whole, least, _planes(np.diff(place[own], prepend=np.uint64(0))), _planes((sets[own] - least).astype(np.uint64))))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in _DEALT.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
+
+
+def _sign(n: int, num: int, den: int, bands: list[tuple[int, int, int, int]], pages: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = plans(num, den)
         lows = np.array([b[0] for b in bands])
+        keys, sets, held = [], [], 0
         for batch in batches:
-            h1, h2, sizes, keys = [], [], [], []
-            for own in _sets(batch.column(1), n):
-                a, b = _identity(own)
-                h1.append(a)
-                h2.append(b)
-                sizes.append(len(own))
-                keys.append(_signatures(own, bands, lows, num, den).view(np.int64) if len(own) else np.zeros(0, np.int64))
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc", "size", "h1", "h2", "keys"])
+            for doc, own in zip(batch.column(0).to_pylist(), _sets(batch.column(1), n)):
+                if len(own):
+                    keys.append(_signatures(own, bands, lows, num, den))
+                    sets.append(np.full(len(keys[-1]), doc, np.int64))
+                    held += len(keys[-1])
+                if held > HELD:
+                    yield from _deal(np.concatenate(keys), np.concatenate(sets), pages)
+                    keys, sets, held = [], [], 0
+        if held:
+            yield from _deal(np.concatenate(keys), np.concatenate(sets), pages)
 
     return run
 
 
+def _shared(rows: pa.Table) -> pa.Table:
+    """The signatures of one page that several sets hold, with these sets."""
+    places, sets, pages, whole = [], [], [], []
+    for _, page, n, all_of, least, some, own in zip(*(c.to_pylist() for c in rows.columns)):
+        places.append(np.cumsum(_from_planes(some, n), dtype=np.uint64))
+        sets.append(_from_planes(own, n).astype(np.int64) + least)
+        pages.append(np.full(n, page, np.int64))
+        whole.append(np.full(n, all_of))
+    if not places:
+        return pa.table({"key": pa.array([], pa.int64()), "rep": pa.array([], pa.int64())})
+    keys = np.concatenate(places).astype(np.int64) | np.concatenate(pages) << 40
+    reps = np.concatenate(sets)
+    order = np.argsort(keys, kind="stable")
+    keys, reps, kept = keys[order], reps[order], np.concatenate(whole)[order]
+    same = keys[1:] == keys[:-1]
+    kept[1:] |= same
+    kept[:-1] |= same
+    return pa.table({"key": pa.array(keys[kept]), "rep": pa.array(reps[kept])})
+
+
 # --- verification ---------------------------------------------------------------------------
 
 
@@ -211,17 +302,23 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
+def _beside(pairs: DataFrame, table: DataFrame, own: list[str], hub: list[str]) -> DataFrame:
+    """``pairs`` (x, hub) with columns of ``table`` (by ``doc``) for both; a hub's sets are dealt over SALTS tasks."""
+    salt = F.pmod(F.xxhash64("x"), F.lit(SALTS)).alias("salt")
+    left = pairs.select("x", "hub", salt).join(table.select(F.col("doc").alias("x"), *map(F.expr, own)), "x")
+    right = pairs.select("hub", salt).distinct().join(table.select(F.col("doc").alias("hub"), *map(F.expr, hub)), "hub")
+    return left.join(right, ["hub", "salt"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, name: str) -> DataFrame:
     """``pairs`` (x, hub) with sizes, common elements, whether they link, and the difference."""
-    left = pairs.select("x", "hub").join(texts.select(F.col("doc").alias("x"), F.col("text").alias("tx")), "x")
-    both = left.join(texts.select(F.col("doc").alias("hub"), F.col("text").alias("th")), "hub").select("x", "hub", "tx", "th")
+    both = _beside(pairs, texts, ["text as tx"], ["text as th"]).select("x", "hub", "tx", "th")
     return written(both.mapInArrow(_verify(n, num, den), "x long, hub long, size long, hub_size long, common long, linked boolean, delta array<long>"), name)
 
 
 def _sketched(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """``pairs`` (x, hub) with both sizes and ``gap``: at least so many elements differ."""
-    one = pairs.join(facts.select(F.col("rep").alias("x"), "size", "sketch"), "x")
-    two = one.join(facts.select(F.col("rep").alias("hub"), F.col("size").alias("hub_size"), F.col("sketch").alias("hub_sketch")), "hub")
+    two = _beside(pairs, facts.withColumnRenamed("rep", "doc"), ["size", "sketch"], ["size as hub_size", "sketch as hub_sketch"])
     bits = F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     return two.select("x", "hub", "size", "hub_size", F.aggregate(bits, F.lit(0), lambda s, v: s + v).cast("long").alias("gap"))
 
@@ -229,15 +326,23 @@ def _sketched(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 # --- join -----------------------------------------------------------------------------------
 
 
-def _kept_signatures(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Signatures that sets share, without each set's most frequent ones where it has spare ones."""
-    rows = classes.select("rep", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spare = F.array(*[F.lit(s) for *_, s in plans(num, den)])
-    band = F.col("key").bitwiseAND(F.lit(0xFF)).cast("int")
+def _share_counted(described: DataFrame) -> float:
+    """The share of elements that several classes of sets hold, over one in SAMPLED of the universe."""
+    classes = described.filter("size > 0").select("h1", "h2", "size", F.explode("some").alias("element")).distinct()
+    counts = classes.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("several")).first()
+    return (found.several or 0) / found.all if found.all else 0.0
+
+
+def _kept_signatures(rows: DataFrame, bands: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Signatures that sets share, without each set's most frequent full segments where it has spare ones."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    spare = F.array(*[F.lit(s) for *_, s in bands])
+    byte = F.shiftright("key", 32).bitwiseAND(F.lit(0xFF)).cast("int")
+    ones = byte >= _ONE
     order = Window.partitionBy("rep", "band").orderBy(F.desc("n"), "key")
-    ranked = rows.join(shared, "key").withColumn("band", band).withColumn("place", F.row_number().over(order))
-    return ranked.filter(F.col("place") > F.get(spare, F.col("band"))).select("rep", "key")
+    ranked = rows.join(counts, "key").withColumn("band", byte).withColumn("place", F.row_number().over(order))
+    return ranked.filter(ones | (F.col("place") > F.get(spare, F.least(F.col("band"), F.lit(_ONE - 1))))).select("rep", "key")
 
 
 def _with_hub(signatures: DataFrame) -> DataFrame:
@@ -251,12 +356,13 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
     seen = tested.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
     # Close to a common hub: |x - y| is |dx| + |dy| - 2 |dx and dy| for the differences dx and dy to
     # it, so a pair that links shares so many elements of them that it shares one of the rarest.
-    open_hubs = seen.groupBy("hub").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("linked").alias("all")).filter("c < d and not all").select("hub")
+    salt = F.pmod(F.xxhash64("x"), F.lit(SALTS))
+    open_hubs = seen.groupBy("hub").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("linked").alias("all")).filter("c < d and not all").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     width = F.size("delta").cast("long")
     slack = width * (den - num) / (den + num)
     most = F.floor(F.col("size") * (den - num) / num)
     overlap = F.when(F.col("linked"), F.ceil((1 + width - F.ceil(slack)) / 2)).otherwise(F.greatest(F.ceil((width - F.floor(slack)) / 2), width - most))
-    near = seen.filter(F.col("delta").isNotNull()).join(open_hubs, "hub").withColumn("apart", width)
+    near = seen.filter(F.col("delta").isNotNull()).withColumn("salt", salt).join(open_hubs, ["hub", "salt"]).withColumn("apart", width)
     near = near.withColumn("short", F.col("apart") - F.greatest(overlap, F.lit(1)) + 1).withColumn("long", F.least("apart", most + 1))
     facts = ["hub", "x", "component", "linked", "size", "apart", "short", "long"]
     near = near.select(*facts, F.explode("delta").alias("element"))
@@ -281,15 +387,23 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
     return close.union(apart).distinct().select("x", F.col("y").alias("hub"))
 
 
-def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc``, ``size`` (of its set) and ``component`` (least linked id) for each row with an id."""
-    own = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    described = written(own.mapInArrow(_describe(n), "doc long, size long, h1 long, h2 long, sketch array<long>"), "sets")
-    members, identity = described.drop("sketch"), ["h1", "h2", "size"]
-    facts = written(described.filter("size > 0").groupBy(*identity).agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "facts")
-    signed = own.mapInArrow(_sign(n, num, den), "doc long, size long, h1 long, h2 long, keys array<long>")
-    classes = signed.filter("size > 0").groupBy(*identity).agg(F.min("doc").alias("rep"), F.first("keys").alias("keys")).select("rep", "keys")
-    stars = written(_with_hub(written(_kept_signatures(classes, num, den), "kept")), "stars")
+def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", shared: float | None = None) -> DataFrame:
+    """``doc``, ``size`` (of its set) and ``component`` (least linked id) for each row.
+
+    ``shared`` overrides the counted share of elements that several sets hold.
+    """
+    everything = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    described = written(everything.mapInArrow(_describe(n), "doc long, size long, h1 long, h2 long, sketch array<long>, some array<long>"), "sets")
+    members, identity = described.select("doc", "size", "h1", "h2"), ["h1", "h2", "size"]
+    own, known = everything.filter("doc is not null"), described.filter("doc is not null and size > 0")
+    facts = written(known.groupBy(*identity).agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "facts")
+    bands = plans(num, den, _share_counted(known) if shared is None else shared)
+    volume = facts.agg(F.sum("size")).first()[0] or 0
+    pages = int(volume * (den - num) * 2 // (num * PAGE)) + 1
+    texts = own.join(facts.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "text")
+    dealt = texts.mapInArrow(_sign(n, num, den, bands, pages), _DEALT)
+    rows = written(dealt.groupBy("to").applyInArrow(_shared, "key long, rep long"), "signatures")
+    stars = written(_with_hub(written(_kept_signatures(rows, bands), "kept")), "stars")
     pairs = written(_sketched(stars.select("x", "hub").distinct(), facts), "pairs")
     near = F.col("gap") <= NEAR * F.col("size")
     tested = _verified(pairs.filter(near), own, n, num, den, "tested")
@@ -302,7 +416,7 @@ def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id:
     if not late.isEmpty():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     labelled = facts.select("rep", *identity).join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"))
-    return members.join(labelled, identity, "left").select("doc", "size", F.coalesce("component", "doc").alias("component"))
+    return members.join(labelled, identity, "left").select("doc", "size", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
 
 
 def op3_ngram_join(spark, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,25 +68,76 @@ def plain_components(docs, n, num, den):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100)])
-def test_join_finds_every_link(spark, n, num, den):
-    docs = corpus()
+def large_sets(seed=9):
+    """Near copies of 400 to 3,000 shingles around both thresholds, a cluster, and boilerplate that many share."""
+    rng, out = random.Random(seed), []
+    common = text(rng, 120)
+    for size in (400, 700, 1200, 3000):
+        base = text(rng, size).split()
+        for share in (0.005, 0.01, 0.016, 0.02, 0.03, 0.045):
+            own = list(base)
+            for at in rng.sample(range(len(own)), int(share * len(own))):
+                own[at] = f"edit{rng.randint(0, 10**6)}"
+            out.append(" ".join(own))
+        out += [" ".join(base), " ".join(base[: int(0.93 * size)]), " ".join(base[: int(0.83 * size)])]
+    base = text(rng, 500).split()
+    for k in range(40):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 1 + k // 4):
+            own[at] = f"turn{k}"
+        out.append(" ".join(own))
+    out += [common + " " + text(rng, rng.randint(5, 60)) for _ in range(30)]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("make", [corpus, large_sets])
+@pytest.mark.parametrize("n,num,den,shared", [(3, 90, 100, None), (5, 80, 100, None), (5, 80, 100, 0.9)])
+def test_join_finds_every_link(spark, make, n, num, den, shared):
+    docs = make()
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("size", F.lit("x")).withColumn("component", F.lit(0))
-    got = {r.doc: (r["size"], r.component) for r in ngram_join.jaccard_components(table, n, num, den).collect()}
+    got = {r.doc: (r["size"], r.component) for r in ngram_join.jaccard_components(table, n, num, den, shared=shared).collect()}
     assert got == plain_components(docs, n, num, den)
 
 
+def test_common_elements_buy_deletion_segments():
+    assert sum(ones > 1 for _, _, ones, _ in ngram_join.plans(80, 100, 0.9)[5:25]) > 10
+    assert all(ones == 0 for _, _, ones, _ in ngram_join.plans(80, 100, 0.01)[5:25])
+
+
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_deletion_segments_alone_lose_no_link(spark, monkeypatch, n, num, den):
+    monkeypatch.setattr(ngram_join, "allocate", lambda size, h, shared=0.0: (h + 1 - (h + 1) // 2, (h + 1) // 2, 0))
+    docs = large_sets(4)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc: (r["size"], r.component) for r in ngram_join.jaccard_components(table, n, num, den).collect()} == plain_components(docs, n, num, den)
+
+
+def test_places_come_back():
+    rng = np.random.default_rng(3)
+    keys, sets = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(0, 300, 5000)
+    keys[:600], keys[600:900] = keys[0], np.repeat(keys[1000:1150], 2)
+    rows = pa.Table.from_batches(list(ngram_join._deal(keys, sets, 7)))
+    found = []
+    for to in set(rows["to"].to_pylist()):
+        part = ngram_join._shared(rows.filter(pa.compute.equal(rows["to"], to)))
+        found += zip(part["key"].to_pylist(), part["rep"].to_pylist())
+    by_key = defaultdict(list)
+    for k, s in zip(keys.tolist(), sets.tolist()):
+        by_key[k].append(s)
+    assert sorted(sorted(v) for v in by_key.values() if len(v) > 1) == sorted(sorted(s for k2, s in found if k2 == k) for k in {k for k, _ in found})
+
+
 def test_join_of_nothing_and_of_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(empty, 3, 90, 100).count() == 0
-    some = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "A B C D")], "doc_id long, text string")
-    assert sorted((r.doc, r.component) for r in ngram_join.jaccard_components(some, 3, 90, 100).collect()) == [(2, 2), (3, 2), (3, 2)]
+    some = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "A B C D"), (None, None)], "doc_id long, text string")
+    assert sorted(((r.doc, r.component) for r in ngram_join.jaccard_components(some, 3, 90, 100).collect()), key=str) == [(2, 2), (3, 2), (3, 2), (None, None), (None, None)]
 
 
 def test_plans_cover_what_may_differ():
-    for num, den in ((90, 100), (80, 100), (1, 2)):
+    for num, den, shared in ((90, 100, 0), (80, 100, 0), (1, 2, 0), (80, 100, 0.95), (90, 100, 0.99)):
         edges = ngram_join.band_edges(num, den)
-        for (low, m, ones, spare), high in zip(ngram_join.plans(num, den)[:40], edges[1:]):
+        for (low, m, ones, spare), high in zip(ngram_join.plans(num, den, shared)[:40], edges[1:]):
             h = ngram_join.differing(int(high) - 1, int(high) - 1, num, den)
             assert not h and not m or m + ones >= h + 1 + spare
 
