@@ -10,8 +10,9 @@ styles count once.
 Spark counts, for each host and token, the pages, the occurrences and linear sketches (sums over
 pages of a page hash times the count, the hash itself, and the tokens before the first place), all
 combined before the shuffle; equal sketches mean equal vectors, and sketches of two tokens tell
-whether what stands between them varies.  A first pass counts hash buckets of tokens instead of
-tokens: what can't be frequent is in a bucket that isn't, so the second pass leaves it out.
+whether what stands between them varies.  A first pass counts hash buckets of words and labels
+without paths: a token that is frequent has a frequent word or label, so the second pass leaves
+out what is in no frequent bucket.
 
 A page is read with its template: a class holds where its tokens come in their order, again and
 again, and nest with the other classes; of two that cross, the one of fewer pages (or more
@@ -36,9 +37,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barframe.llm.html_tokens import VOID, decoded, tokens
 from barframe.llm.shared import written
+from barframe.llm.text import mix, word_hashes
 
 #: A class belongs to a template when it stands in this share of a host's pages, and in this many.
 SHARE = 0.8
@@ -59,63 +62,93 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 _ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 _SCOPES = frozenset({"ul", "ol", "dl", "table", "article", "section", "div", "nav", "header", "footer", "aside", "main", "body", "html", "form", "blockquote"})
 _HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|comment\w*|discussion|disqus|replies|reply|sidebar|side-bar|widget\w*|menu\w*|nav\w*|breadcrumb\w*|footer|header|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|copyright|legal|disclaimer|complementary|contentinfo|navigation|search|alert\w*|teaser\w*|skip\w*)(?:$|[\s_-])")
-_BLANK, _WORD = re.compile(r"\s+"), re.compile(r"\S+")
+_BLANK, _WORD = re.compile(r"\s+"), re.compile(r"[^\x20\x09-\x0D]+")
 #: What pages may differ in and still be equal: comments, scripts and styles.
 UNSEEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 
 
+_MASK = 2**64 - 1
+
+
+def _hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+
+
+class _Hashes(dict):
+    """Hashes of labels, remembered up to a bounded number."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 16:
+            self.clear()
+        found = self[token] = _hash(token)
+        return found
+
+
+_KNOWN = _Hashes()
+
+
+def _below(path: int, label: int) -> int:
+    """The hash of the path that goes on from ``path`` with a label."""
+    return ((path ^ label) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _MASK
+
+
+def _label(name: str, hints: str) -> str:
+    return f"<{name}.{hints.split()[0]}" if hints and hints != "!hidden" else f"<{name}"
+
+
 class Slot:
-    """Text between two tags: its path of elements, its block, the tags before it, and whether it is content."""
+    """Text between two tags: the hash of its path of elements, its block, the tags before it, and whether it is content."""
 
     __slots__ = ("path", "parts", "content", "inside", "block", "at")
 
-    def __init__(self, path: str, content: bool, inside: bool, block: int, at: int):
+    def __init__(self, path: int, content: bool, inside: bool, block: int, at: int):
         self.path, self.parts, self.content, self.inside, self.block, self.at = path, [], content, inside, block, at
 
 
-def walk(html: str) -> tuple[list[Slot], list[str]]:
-    """The slots of a page and its tags, each with its path."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, boilerplate so far, in content so far
+def walk(html: str) -> tuple[list[Slot], list[tuple[int, int]]]:
+    """The slots of a page and its tags: the hashes of each one's path and of its label."""
+    root = ("", 0, False, False, 0)
+    stack: list[tuple[str, int, bool, bool, int]] = []  # name, path, boilerplate so far, in content so far, label
     slots: list[Slot] = []
-    tags: list[str] = []
-    block, fresh = 0, True
+    tags: list[tuple[int, int]] = []
+    known, block, fresh = _KNOWN, 0, True
     for kind, name, hints in tokens(html):
         if kind == "text":
             if fresh:
-                top = stack[-1] if stack else ("", "", False, False)
-                slots.append(Slot("/".join(s[1] for s in stack[-6:]), not top[2], top[3], block, len(tags)))
+                top = stack[-1] if stack else root
+                slots.append(Slot(top[1], not top[2], top[3], block, len(tags)))
                 fresh = False
             slots[-1].parts.append(name)
             continue
+        fresh = True
         if kind == "raw":
-            fresh = True
-            tags.append(name)
+            label = known["<" + name]
+            tags.append((_below(stack[-1][1] if stack else 0, label), label))
             continue
-        fresh = True
         if name in BLOCKS:
             block += 1
         if kind == "open":
             family = _ENDS.get(name)
             if family or name in BLOCKS and stack and stack[-1][0] == "p":
                 _end(stack, family or frozenset({"p"}))
+            above = stack[-1] if stack else root
+            label = known["<" + name if name in VOID else _label(name, hints)]
+            path = _below(above[1], label)
+            tags.append((path, label))
             if name in VOID:
-                tags.append(name)
                 continue
-            above = stack[-1] if stack else ("", "", False, False)
             bad = above[2] or name in BOILERPLATE or "!hidden" in hints or bool(hints and name not in ("body", "html", "article", "main") and _HINT.search(hints))
-            label = f"{name}.{hints.split()[0]}" if hints and hints != "!hidden" else name
-            stack.append((name, label, bad, above[3] or name in CONTENT))
-            tags.append("/".join(s[1] for s in stack[-6:]))
+            stack.append((name, path, bad, above[3] or name in CONTENT, label))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    tags.append("/" + "/".join(s[1] for s in stack[max(0, k - 5) : k + 1]))
+                    tags.append((_below(stack[k][1], 1), stack[k][4]))
                     del stack[k:]
                     break
     return slots, tags
 
 
-def _end(stack: list[tuple[str, str, bool, bool]], family: frozenset[str]) -> None:
+def _end(stack: list[tuple[str, int, bool, bool, int]], family: frozenset[str]) -> None:
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] in family:
             del stack[k:]
@@ -124,47 +157,51 @@ def _end(stack: list[tuple[str, str, bool, bool]], family: frozenset[str]) -> No
             return
 
 
-_KNOWN: dict[str, dict[str, int]] = {}
-_KNOWN_WORDS = [0]
+def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts (ASCII blanks divide them, case of A-Z is ignored), and where each text's begin."""
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    offsets = np.zeros(len(coded) + 1, np.int64)
+    np.cumsum([len(c) for c in coded], out=offsets[1:])
+    return word_hashes(np.frombuffer(b"".join(coded), np.uint8), offsets)
 
 
-def _hash(token: str) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")))))
-
-
-def _hashes(path: str, words: list[str]) -> list[int]:
-    """Hashes of words at a path; those seen before come from a table of bounded size."""
-    if _KNOWN_WORDS[0] > 1 << 18:
-        _KNOWN.clear()
-        _KNOWN_WORDS[0] = 0
-    table = _KNOWN.setdefault(path, {})
-    out = []
-    for word in words:
-        found = table.get(word)
-        if found is None:
-            found = table[word] = _hash(f"{path}:{word}")
-            _KNOWN_WORDS[0] += 1
-        out.append(found)
-    return out
+def page_words(html: str) -> np.ndarray:
+    """The hashes of a page's words and labels, without their paths."""
+    labels: set[str] = set()
+    texts: list[str] = []
+    text: list[str] = []
+    for kind, name, hints in tokens(html):
+        if kind == "text":
+            text.append(name)
+            continue
+        if text:
+            texts.append(decoded("".join(text)))
+            text = []
+        if kind != "close":
+            labels.add("<" + name if kind == "raw" or name in VOID else _label(name, hints))
+    texts.append(decoded("".join(text)))
+    return np.concatenate([_hashes(texts)[0], np.array([_KNOWN[x] for x in labels], np.uint64)])
 
 
-def page_tokens(slots: list[Slot], tags: list[str]) -> tuple[list[int], list[int]]:
-    """The hashes of a page's tags and words in order, and where the words of each slot begin."""
-    found, begins, done = [], [], 0
-    for slot in slots:
-        found += _hashes("<", tags[done : slot.at])
-        done = slot.at
-        begins.append(len(found))
-        found += _hashes(slot.path, decoded("".join(slot.parts)).split())
-    return found + _hashes("<", tags[done:]), begins
+def page_tokens(slots: list[Slot], tags: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The hashes of a page's tags and words in order, those without their paths, and where the words of each slot begin."""
+    words, starts = _hashes([decoded("".join(s.parts)) for s in slots])
+    at, counts = np.array([s.at for s in slots], np.int64), np.diff(starts)
+    bare, paths = (np.empty(len(tags) + len(words), np.uint64) for _ in range(2))
+    word = np.zeros(len(bare), bool)
+    word[np.arange(len(words)) + np.repeat(at, counts)] = True
+    bare[word], paths[word] = words, np.repeat(np.array([s.path for s in slots], np.uint64), counts)
+    both = np.array(tags, np.uint64).reshape(-1, 2)
+    paths[~word], bare[~word] = both[:, 0], both[:, 1]
+    return mix(bare ^ mix(paths)).view(np.int64), bare, (starts[:-1] + at).tolist()
 
 
-def _bucket(tokens_of: np.ndarray) -> np.ndarray:
-    return tokens_of & (BUCKETS - 1)
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host, the pages, and the pages that hold a token of each bucket."""
+    """For each host, the pages, and the pages that hold a word or label of each bucket."""
     total: dict[str, tuple[list[int], np.ndarray]] = {}
 
     def flush() -> pa.RecordBatch:
@@ -180,7 +217,7 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 total[host] = ([0], np.zeros(BUCKETS, np.uint32))
             n, own = total[host]
             n[0] += 1
-            own[np.unique(_bucket(np.array(page_tokens(*walk(html))[0], np.int64)))] += 1
+            own[np.unique(_bucket(page_words(html)))] += 1
     yield flush()
 
 
@@ -211,9 +248,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if host not in masks:
                 masks[host] = np.zeros(BUCKETS, bool)
                 masks[host][buckets[k].as_py()] = True
-            found = np.array(page_tokens(*walk(html))[0], np.int64)
+            found, bare, _ = page_tokens(*walk(html))
             before = np.cumsum(found.view(np.uint64) >> np.uint64(24)) - (found.view(np.uint64) >> np.uint64(24))
-            some = np.flatnonzero(masks[host][_bucket(found)])
+            some = np.flatnonzero(masks[host][_bucket(bare)])
             mark %= PRIME
             tokens_of, first, times = np.unique(found[some], return_index=True, return_counts=True)
             at = some[first]
@@ -318,8 +355,10 @@ def main_text(html: str | None, template: list[list[int]] = ()) -> str:
         return ""
     slots, tags = walk(html)
     inside = any(s.inside and s.content for s in slots)
-    tokens_of, begins = page_tokens(slots, tags) if template else ([], [0] * len(slots))
-    gone = placed(tokens_of, template)
+    gone, begins = set(), [0] * len(slots)
+    if template:
+        found, _, begins = page_tokens(slots, tags)
+        gone = placed(found.tolist(), template)
     blocks: dict[int, list[str]] = {}
     for slot, begin in zip(slots, begins):
         if not slot.content or inside and not slot.inside:
@@ -357,7 +396,8 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     kept = [c for c in pages.columns if c not in (html, into)]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     joined = rows.join(learnt, "host", "left").select("row", "host", "html", "template")
-    done = joined.mapInArrow(_extract, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType())])
+    done = joined.mapInArrow(_extract, schema)
     return done.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("text").alias(into))
 
 

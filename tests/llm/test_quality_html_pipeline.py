@@ -79,6 +79,46 @@ def test_templates_are_read_off_pages_with_articles_too(spark):
     assert got[50] == "on by Written notes"  # out of order, so no template words
 
 
+def plain_template(pages):
+    """Classes by whole occurrence vectors, for pages of one host that all differ."""
+    seen = [html_extract.page_tokens(*html_extract.walk(h))[0].tolist() for h in pages]
+    vectors = {t: tuple(own.count(t) for own in seen) for own in seen for t in own}
+    often = {t: v for t, v in vectors.items() if sum(x > 0 for x in v) >= max(html_extract.LEAST_PAGES, html_extract.SHARE * len(pages))}
+    groups = {}
+    for t, v in often.items():
+        groups.setdefault(v, []).append(t)
+    found = set()
+    for v, own in groups.items():
+        holders = [p for p, n in zip(seen, v) if n]
+        own.sort(key=lambda t: (sum(p.index(t) for p in holders), t))
+        between = [len({tuple(p[p.index(a) : p.index(b)]) for p in holders}) > 1 for a, b in zip(own, own[1:])]
+        if any(between):
+            found.add(tuple(own))
+    return found
+
+
+def test_classes_equal_those_of_whole_vectors(spark):
+    rng = random.Random(8)
+    rows = []
+    for host in range(3):
+        for k in range(8 + 5 * host):
+            parts = [f"<li>item <b>n{rng.randint(0, 99)}</b> in stock</li>" for _ in range(rng.randint(1, 3))]
+            extra = "<p>Seldom seen</p>" if k % 3 == 0 else ""
+            rows.append((f"h{host}.example", f"<div class=top>Shop {host} of all</div><div>by k{k} for everyone</div>{extra}<ul>{''.join(parts)}</ul><i>{k}</i>"))
+    pages = spark.createDataFrame(rows, "host string, html string")
+    got = {r.host: {tuple(c) for c in r.template} for r in html_extract.templates(pages).collect()}
+    assert got == {f"h{host}.example": plain_template([h for o, h in rows if o == f"h{host}.example"]) for host in range(3)} and all(got.values())
+
+
+def test_deep_paths_tell_places_apart_and_odd_columns_pass(spark):
+    deep = "<section>" * 9
+    a = html_extract.page_tokens(*html_extract.walk(f"<div>{deep}word"))[0]
+    b = html_extract.page_tokens(*html_extract.walk(f"<ul>{deep}word"))[0]
+    assert a[-1] != b[-1]
+    pages = spark.createDataFrame([(1, "http://x/", "<p>a b", 5)], "page_id long, url string, html string, `my col` long")
+    assert [tuple(r) for r in html_extract.extract_main_text(pages).collect()] == [(1, "http://x/", 5, "a b")]
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = docs
