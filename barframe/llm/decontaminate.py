@@ -9,7 +9,8 @@ reach the limit is not aligned.
 
 The test items are read in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for
 each block, so what is broadcast is bounded whatever the benchmark's size.  Null and empty texts and
-items match nothing; items shorter than a seed are one seed of all their words.
+items match nothing; items shorter than a seed are one seed of all their words.  Rows that repeat an
+item's id are texts of their own; a document gets one row for each item id, with the best overlap.
 """
 
 from __future__ import annotations
@@ -72,19 +73,20 @@ def _batches(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield first, words, at, grams, start
 
 
-def item_seeds(items: list[tuple[int, str]], n: int) -> tuple[dict[int, np.ndarray], list[tuple[int, int, int]]]:
-    """The words of each item, and its seeds: hash, item, place."""
-    words_of, seeds = {}, []
-    for item, text in items:
+def item_seeds(texts: list[str], n: int) -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
+    """The words of each item's text, and its seeds: hash, number of the text, place."""
+    words_of, seeds = [], []
+    for number, text in enumerate(texts):
+        words_of.append(np.zeros(0, np.uint64))
         for _, words, _, grams, _ in _batches(pa.array([text or ""], pa.string()), n):
-            words_of[item] = words
+            words_of[-1] = words
             own = grams if len(grams) else gram_hashes(words, np.array([0, len(words)]), max(1, len(words)))[0]
-            seeds += [(int(np.int64(np.uint64(g))), item, k) for k, g in enumerate(own)]
+            seeds += [(int(np.int64(np.uint64(g))), number, k) for k, g in enumerate(own)]
     return words_of, seeds
 
 
-def _short_sizes(words_of: dict[int, np.ndarray], n: int) -> list[int]:
-    return sorted({len(w) for w in words_of.values() if 0 < len(w) < n})
+def _short_sizes(words_of: list[np.ndarray], n: int) -> list[int]:
+    return sorted({len(w) for w in words_of if 0 < len(w) < n})
 
 
 def _all_grams(words: np.ndarray, at: np.ndarray, grams: np.ndarray, start: np.ndarray, sizes: list[int]):
@@ -120,7 +122,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
 
 def _align(shared, n: int, sizes: list[int], leaked: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners, words_of = shared.value
+        hashes, owners, words_of, items = shared.value
         for batch in batches:
             rows: list[tuple] = []
             docs = batch.column(0).to_pylist()
@@ -132,13 +134,14 @@ def _align(shared, n: int, sizes: list[int], leaked: float):
                         continue
                     row = np.searchsorted(begin, hit, side="right") - 1
                     for place, k in zip((hit - begin[row]).tolist(), row.tolist()):
-                        for item, offset in owners[int(g[begin[k] + place])]:
-                            spots.setdefault((k, item), []).append(place - offset)
-                for (k, item), diagonals in spots.items():
-                    found = _best(words_of[item], words[at[k] : at[k + 1]], diagonals, leaked)
-                    share = found[0] / (MATCH * len(words_of[item]))
-                    if share >= leaked and (len(words_of[item]) >= LEAST_WORDS or share == 1):
-                        rows.append((docs[first + k], item, round(share, 6), found[1], found[2]))
+                        for number, offset in owners[int(g[begin[k] + place])]:
+                            spots.setdefault((k, number), []).append(place - offset)
+                for (k, number), diagonals in spots.items():
+                    own = words_of[number]
+                    found = _best(own, words[at[k] : at[k + 1]], diagonals, leaked)
+                    share = found[0] / (MATCH * len(own))
+                    if share >= leaked and (len(own) >= LEAST_WORDS or share == 1):
+                        rows.append((docs[first + k], items[number], round(share, 6), found[1], found[2]))
             names, types = ["doc", "item", "overlap", "begin", "end"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=names)
 
@@ -174,19 +177,20 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     own = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     found = None
     for items in _blocks(benchmark, item_id, item_text):
-        words_of, seeds = item_seeds(items, seed_words)
+        words_of, seeds = item_seeds([t for _, t in items], seed_words)
         if not seeds:
             continue
         sizes = _short_sizes(words_of, seed_words)
         owners: dict[int, list[tuple[int, int]]] = {}
-        for seed, item, place in seeds:
-            owners.setdefault(seed % 2**64, []).append((item, place))
-        shared = spark.sparkContext.broadcast((np.array(sorted(owners), np.uint64), owners, words_of))
+        for seed, number, place in seeds:
+            owners.setdefault(seed % 2**64, []).append((number, place))
+        shared = spark.sparkContext.broadcast((np.array(sorted(owners), np.uint64), owners, words_of, [i for i, _ in items]))
         part = own.mapInArrow(_align(shared, seed_words, sizes, leaked), "doc long, item long, overlap double, begin long, end long")
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "doc long, item long, overlap double, begin long, end long")
-    return found
+    best = F.max(F.struct("overlap", (-F.col("begin")).alias("back"), "end")).alias("best")
+    return found.groupBy("doc", "item").agg(best).select("doc", "item", "best.overlap", (-F.col("best.back")).alias("begin"), "best.end")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

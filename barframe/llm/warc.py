@@ -6,14 +6,18 @@ read as a binary file and cut by Content-Length, never by separators, since a pa
 anything.
 
 Of responses with equal payloads of at least ``least`` bytes the one with the largest id stays a
-response; the others become revisit records that carry fresh headers, no payload, and the id of
-the response.  Null payloads are empty.  A null url is written as an empty one.
+response; the others become revisit records that carry fresh headers (with the HTTP headers of the
+response, no payload) and the id of the response.  Rows that repeat the largest id stay responses
+too, so each row gives one record.  A row with a null id is a response with an empty id.  Null
+payloads are empty.  A null url is written as an empty one.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +27,10 @@ from barframe.llm.shared import shared_folder
 
 #: Bytes of a payload from which on copies are written as revisits.
 LEAST = 1000
-#: Records of an archive: one is read into memory at a time.
+#: Records of an archive.  It is read record by record, so its compressed bytes and one record are in memory.
 ARCHIVE_RECORDS = 1000
+#: Tasks that the copies of a payload are dealt over.
+SALTS = 32
 EPOCH = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
@@ -49,23 +55,28 @@ def response_headers(records: DataFrame, least: int = LEAST) -> DataFrame:
 def resolve_revisits(records: DataFrame, least: int = LEAST) -> DataFrame:
     """``records`` (id, url, payload, payload_bytes, digest) with ``refers_to``, null for responses.
 
-    Records that can't be revisits join on a key of their own, so they don't meet in one task.
+    Copies of a payload are dealt over SALTS tasks, and records that can't be revisits join on a key
+    of their own, so no payload's copies meet in one task.  The other side has headers only.
     """
-    originals = response_headers(records, least)
-    keyed = records.withColumn("key", F.when(F.col("payload_bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))))
-    joined = keyed.join(originals.withColumnRenamed("digest", "key"), "key", "left")
-    return joined.withColumn("refers_to", F.when(F.col("original") != F.col("id"), F.col("original"))).drop("key", "original")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    originals = response_headers(records, least).select(F.col("digest").alias("__key"), F.col("original").alias("__original"), salts.alias("__salt"))
+    spread = F.xxhash64("id", "url")
+    key = F.when(F.col("payload_bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), spread.cast("string")))
+    keyed = records.withColumn("__key", key).withColumn("__salt", F.pmod(spread, F.lit(SALTS)))
+    joined = keyed.join(originals, ["__key", "__salt"], "left")
+    return joined.withColumn("refers_to", F.when(F.col("__original") != F.col("id"), F.col("__original"))).drop("__key", "__salt", "__original")
 
 
 def record_text(date: str = EPOCH) -> Column:
     """A WARC record for a row of ``resolve_revisits``."""
-    url, ident = F.coalesce("url", F.lit("")), F.concat(F.lit(f"<{_URN}"), F.col("id").cast("string"), F.lit(">"))
+    url, ident = F.coalesce("url", F.lit("")), F.concat(F.lit(f"<{_URN}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
     common = [("WARC-Record-ID", ident), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.regexp_replace(url, "[\r\n]", "%0A")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))]
     kind = [("Content-Type", F.lit("application/http; msgtype=response"))]
     full = F.concat(_head(("WARC-Type", F.lit("response")), *common, *kind, ("Content-Length", (F.octet_length(http) + F.col("payload_bytes")).cast("string"))), http, F.coalesce("payload", F.lit("")))
     refers = [("WARC-Refers-To", F.concat(F.lit(f"<{_URN}"), F.col("refers_to").cast("string"), F.lit(">"))), ("WARC-Profile", F.lit(PROFILE))]
-    short = _head(("WARC-Type", F.lit("revisit")), *common, *refers, *kind, ("Content-Length", F.lit("0")))
+    short = _head(("WARC-Type", F.lit("revisit")), *common, *refers, *kind, ("Content-Length", F.octet_length(http).cast("string")))
+    short = F.concat(short, http)
     return F.when(F.col("refers_to").isNull(), full).otherwise(short)
 
 
@@ -75,23 +86,25 @@ def write_archives(records: DataFrame, path: str) -> None:
     out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
-    """Headers and the place of the block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8").split("\r\n")
-        head = {k.lower(): v for k, v in (line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])}
-        begin = stop + 4
-        end = begin + int(head["content-length"])
-        yield head, begin, end
-        at = end + 4
+def _records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and the block of each record of an archive, read one by one."""
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {line[:40]!r}")
+        head = {}
+        while (line := file.readline().rstrip(b"\r\n").decode("utf-8")):
+            name, _, value = line.partition(":")
+            head[name.lower()] = value.removeprefix(" ")
+        size = int(head["content-length"])
+        block = file.read(size)
+        if len(block) < size or file.read(4) != _END.encode():
+            raise ValueError("a WARC record is cut off")
+        yield head, block
 
 
 def _ident(value: str | None) -> int | None:
-    return int(value[len(_URN) + 1 : -1]) if value else None
+    ident = value[len(_URN) + 1 : -1] if value else ""
+    return int(ident) if ident else None
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,14 +112,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = content.as_py()
-            if name.endswith(".gz"):
-                data = gzip.decompress(data)
+            file = io.BytesIO(content.as_buffer())
             rows: list[tuple] = []
             room = 0
-            for head, begin, end in _records(data):
-                block = data[begin:end]
-                payload = block[block.index(b"\r\n\r\n") + 4 :] if head["warc-type"] == "response" else None
+            for head, block in _records(gzip.GzipFile(fileobj=file) if name.endswith(".gz") else file):
+                payload = block[block.index(_END.encode()) + 4 :] if head["warc-type"] == "response" else None
                 rows.append((_ident(head["warc-record-id"]), head["warc-target-uri"], head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), _ident(head.get("warc-refers-to")), payload))
                 room += len(block)
                 if room > 4 << 20:
@@ -131,9 +141,11 @@ def op10_warc(spark, folder: str) -> DataFrame:
     write_archives(resolve_revisits(records), path)
     back = read_archives(spark, path)
     responses = back.filter("record_type = 'response'").select(F.col("id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = back.filter("record_type = 'revisit'").select("id", "refers_to")
-    originals = responses.select(F.col("id").alias("refers_to"), "payload_bytes", "digest")
-    resolved = revisits.join(originals, "refers_to").select("id", "payload_bytes", "digest", F.lit("revisit").alias("record_type"), "refers_to")
+    revisits = back.filter("record_type = 'revisit'").select("id", "refers_to", "digest")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    visited = responses.filter(F.col("payload_bytes") >= LEAST).select(F.col("id").alias("refers_to"), "payload_bytes", "digest").join(revisits.select("refers_to", "digest").distinct(), ["refers_to", "digest"], "left_semi")
+    originals = visited.groupBy("refers_to", "digest").agg(F.max("payload_bytes").alias("payload_bytes")).withColumn("salt", salts)
+    resolved = revisits.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(originals, ["refers_to", "digest", "salt"]).select("id", "payload_bytes", "digest", F.lit("revisit").alias("record_type"), "refers_to")
     return responses.union(resolved).select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
@@ -144,7 +156,7 @@ WITH p AS (
   SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
 )
 SELECT p.page_id, p.payload_bytes, p.payload_digest,
-       CASE WHEN m.original IS NULL OR m.original = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN m.original <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN m.original <> p.page_id THEN m.original END AS refers_to
 FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND p.payload_bytes >= 1000
 """

@@ -202,6 +202,46 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontaminate.find_leaks(table.filter("doc_id > 99"), bench).count() == 0
 
 
+def test_repeated_items_are_all_looked_for(spark):
+    rng = random.Random(12)
+    a, b = text(rng, 25), text(rng, 25)
+    bench = spark.createDataFrame([(7, a), (7, b), (7, b)], "item_id long, text string")
+    table = spark.createDataFrame([(1, "so " + a), (2, b + " end"), (3, a + " " + b)], "doc_id long, text string")
+    assert sorted((r.doc, r.item, r.overlap) for r in decontaminate.find_leaks(table, bench).collect()) == [(1, 7, 1.0), (2, 7, 1.0), (3, 7, 1.0)]
+
+
+@pytest.mark.parametrize("replaced", [0.0, 0.1, 0.2, 0.3])
+def test_leaks_equal_brute_force_and_recall_stays(spark, replaced):
+    rng = random.Random(int(replaced * 100))
+    items = [(k, text(rng, rng.choice([5, 12, 20, 40]))) for k in range(12)] + [(3, text(rng, 15))]
+    docs = []
+    for k in range(60):
+        words = rng.choice(items)[1].split()
+        edited = []
+        for w in words:
+            chance = rng.random()
+            if chance < replaced:
+                edited += rng.choice([[], ["other"], [w, "more"]])
+            else:
+                edited.append(w)
+        docs.append((k, " ".join([text(rng, rng.randint(0, 30)), *edited, text(rng, rng.randint(0, 30))])))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc, r.item): r.overlap for r in decontaminate.find_leaks(table, bench).collect()}
+    want, seeded = {}, {}
+    for d, t in docs:
+        words = t.split()
+        runs = {tuple(words[k : k + 4]) for k in range(len(words) - 3)}
+        for item, own in items:
+            own = own.split()
+            share = plain_alignment(own, words) / (2 * len(own))
+            if share >= 0.5 and (len(own) >= 8 or share == 1):
+                want[d, item] = max(share, want.get((d, item), 0))
+                if any(tuple(own[k : k + 4]) in runs for k in range(len(own) - 3)):
+                    seeded[d, item] = want[d, item]
+    assert set(got) == set(seeded) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert len(got) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("every", [5, 6])
 @pytest.mark.parametrize("size", [20, 40, 60])
 def test_copies_with_regular_edits_are_found(spark, every, size):
@@ -256,6 +296,20 @@ def test_archives_come_back_with_revisits(spark):
     assert warc.read_archives(spark, path + "-none").count() == 0
 
 
+def test_archives_of_repeated_and_null_ids_and_of_many_copies(spark, tmp_path):
+    big, other = "b" * 1500, "o" * 1200
+    rows = [(5, "u", big), (5, "u", big), (1, "u", big), (None, "u", big), (None, "v", "x"), (5, "u", other), (4, " u: ", other)]
+    rows += [(1000 + k, f"http://h/{k}", "copy" * 300) for k in range(10_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op10_warc(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    few = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if (r.page_id or 0) < 1000), key=str)
+    want = [(5, 1500, "response", None), (5, 1500, "response", None), (1, 1500, "revisit", 5), (None, 1500, "response", None), (None, 1, "response", None), (5, 1200, "response", None), (4, 1200, "revisit", 5)]
+    assert few == sorted(want, key=str)
+    many = [(r.record_type, r.refers_to) for r in got if (r.page_id or 0) >= 1000]
+    assert many.count(("revisit", 10_999)) == 9999 and many.count(("response", None)) == 1
+
+
 # --- packing ------------------------------------------------------------------------------
 
 
