@@ -18,8 +18,8 @@ sketches (a bit for the parity of the elements of each hash value: no more bits
 then, unless those tell that the sets are far apart, by their texts.  Then
 components are formed, and only what can still join two components is looked at: sets that share
 a hub and also a rare element of their differences to it (x and y differ by the symmetric
-difference of their differences to the hub), or that share a signature and are both far from its
-hub.  A hub's sets are dealt over ``SALTS`` tasks.  All this is exact, up to equal 64-bit hashes of
+difference of their differences to the hub), or that share a signature, are both far from its hub, and aren't
+ruled out by their sketches.  A hub's sets are dealt over ``SALTS`` tasks.  All this is exact, up to equal 64-bit hashes of
 different shingles.
 
 Null and empty texts link with nothing, nor do rows with a null id, whose component is null.  Each
@@ -34,7 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.llm.components import connected_components
@@ -50,13 +51,13 @@ MEETING = 8
 #: One in so many hash values of elements is counted to learn the share that several sets hold.
 SAMPLED = 512
 #: Signatures of a page, and those that a task holds before it deals them out.
-PAGE, HELD = 1 << 21, 1 << 21
+PAGE, HELD = 1 << 20, 1 << 20
 #: A task sends so many of a signature's sets to its page; the page knows by two that it is shared, so the others go to any page.
 REPEATED = 2
 #: Tasks that a hub's sets are dealt over.
 SALTS = 32
 #: A set is near a hub when at most this share of its size differs; else it is far.
-NEAR = 0.8
+NEAR = 0.45
 #: Bits of a sketch.
 SKETCH = 2048
 
@@ -138,15 +139,16 @@ def differing(a: int, b: int, num: int, den: int) -> int:
 def allocate(size: int, h: int, shared: float = 0.0) -> tuple[int, int, int]:
     """Segments, how many of them may differ by one element, and spare ones, for sets of ``size``.
 
-    ``shared`` is the chance that an element stands in other sets as well: a segment of e elements
-    meets others with ``shared`` ** e, one that may lack an element with that and e ways to lack it.
-    As many meetings as there are spare segments are left out.
+    ``shared`` is the chance that an element stands in other sets as well.  A segment holds a Poisson
+    number of elements, e on average; a full one meets others where all its elements are shared, a
+    deletion segment where all or all but one are.  As many meetings as there are spare segments are
+    left out.
     """
 
     def cost(m: int, ones: int, spare: int) -> float:
         e = size / m
-        full = shared**e
-        lacking = min(1.0, full + e * shared ** max(0.0, e - 1) * (1 - shared))
+        full = math.exp(-e * (1 - shared))
+        lacking = full * (1 + e * (1 - shared))
         return m + ones * e + MEETING * (max(0.0, (m - ones) * full - spare) + ones * lacking)
 
     choices = []
@@ -284,6 +286,8 @@ def _verify(n: int, num: int, den: int):
         for batch in batches:
             left, right, known = _sets(batch.column(2), n), list(batch.column(3).to_pylist()), {}
             rows: list[tuple] = []
+            deltas: list[np.ndarray] = []
+            far: list[bool] = []
             for own, text in zip(left, right):
                 hub = known.get(text)
                 if hub is None:
@@ -293,11 +297,13 @@ def _verify(n: int, num: int, den: int):
                 common = len(np.intersect1d(own, hub, assume_unique=True))
                 apart = len(own) + len(hub) - 2 * common
                 linked = den * common >= num * (len(own) + len(hub) - common)
-                near = apart <= NEAR * len(own)
-                rows.append((len(own), len(hub), common, linked, np.setxor1d(own, hub, assume_unique=True).view(np.int64).tolist() if near else None))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+                far.append(apart > NEAR * len(own))
+                deltas.append(np.zeros(0, np.int64) if far[-1] else np.setxor1d(own, hub, assume_unique=True).view(np.int64))
+                rows.append((len(own), len(hub), common, linked))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            delta = pc.if_else(pa.array(far, pa.bool_()), pa.scalar(None, pa.list_(pa.int64())), _lists(deltas))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array(list(c), t) for c, t in zip(columns, types)] + [delta], names=names)
 
     return run
 
@@ -336,7 +342,7 @@ def _share_counted(described: DataFrame) -> float:
 
 def _kept_signatures(rows: DataFrame, bands: list[tuple[int, int, int, int]]) -> DataFrame:
     """Signatures that sets share, without each set's most frequent full segments where it has spare ones."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
     spare = F.array(*[F.lit(s) for *_, s in bands])
     byte = F.shiftright("key", 32).bitwiseAND(F.lit(0xFF)).cast("int")
     ones = byte >= _ONE
@@ -346,11 +352,23 @@ def _kept_signatures(rows: DataFrame, bands: list[tuple[int, int, int, int]]) ->
 
 
 def _with_hub(signatures: DataFrame) -> DataFrame:
-    hubs = signatures.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top").select("key", "hub")
+    hubs = written(signatures.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top").select("key", "hub"), "hubs")
     return signatures.join(hubs, "key").filter("rep <> hub").select("key", "hub", F.col("rep").alias("x"))
 
 
-def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num: int, den: int) -> DataFrame:
+def _folded(sketch: Column, words: Column) -> Column:
+    """A sketch of as many words: parities of several places are the parity of all."""
+    fold = lambda a, n: F.zip_with(F.slice(a, 1, n), F.slice(a, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+    half = fold(sketch, SKETCH // 128)
+    return F.when(words >= SKETCH // 64, sketch).when(words >= SKETCH // 128, half).otherwise(fold(half, SKETCH // 256))
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """How many bits of two sketches of equal length differ."""
+    return sum((F.coalesce(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))), F.lit(0)) for k in range(SKETCH // 64)), F.lit(0))
+
+
+def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of sets in different components that may still link."""
     label = component.select(F.col("node").alias("x"), "component")
     seen = tested.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
@@ -380,10 +398,14 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, num:
     # far from the hub of a signature: so is any partner
     away = F.coalesce(F.col("size") + F.col("hub_size") - 2 * F.col("common"), F.col("gap"))
     far = seen.filter(away > (NEAR * num / den - (den - num) / num) * F.col("size") - 1).withColumn("very", F.col("delta").isNull())
-    members = stars.join(far.select("x", "hub", "component", "size", "very"), ["x", "hub"])
-    u = members.select("key", "x", "component", "size", "very")
-    v = members.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"))
-    apart = u.join(v, "key").filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also"))).select("x", "y")
+    lows = F.array(*[F.lit(int(e)) for e in band_edges(num, den)])
+    differing_most = F.get(lows, F.shiftright("key", 32).bitwiseAND(F.lit(_ONE - 1)).cast("int") + 1) * F.lit(2 * (den - num) / (den + num))
+    words = F.when(differing_most <= SKETCH // 4 * 0.4, SKETCH // 256).when(differing_most <= SKETCH // 2 * 0.4, SKETCH // 128).otherwise(SKETCH // 64)
+    members = stars.join(far.select("x", "hub", "component", "size", "very"), ["x", "hub"]).join(sketches.select(F.col("rep").alias("x"), "sketch"), "x")
+    u = members.select("key", "x", "component", "size", "very", _folded(F.col("sketch"), words).alias("bits"))
+    v = u.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"), F.col("bits").alias("other_bits"))
+    differ = _bits_apart("bits", "other_bits") * (den + num) <= (F.col("size") + F.col("width")) * (den - num)
+    apart = u.join(v, "key").filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also")) & differ).select("x", "y")
     return close.union(apart).distinct().select("x", F.col("y").alias("hub"))
 
 
@@ -410,7 +432,7 @@ def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id:
     links = tested.filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
     component = connected_components(links)
     seen = tested.withColumn("gap", F.lit(None).cast("long")).unionByName(pairs.filter(~near).withColumn("linked", F.lit(False)), allowMissingColumns=True)
-    still = written(_sketched(_open_pairs(stars, seen, component, num, den), facts), "open")
+    still = written(_sketched(_open_pairs(stars, seen, component, facts, num, den), facts), "open")
     alike = (F.col("gap") * (den + num) <= (F.col("size") + F.col("hub_size")) * (den - num)) & (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num)
     late = _verified(still.filter(alike), own, n, num, den, "late").filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
     if not late.isEmpty():

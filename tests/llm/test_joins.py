@@ -100,7 +100,7 @@ def test_join_finds_every_link(spark, make, n, num, den, shared):
 
 
 def test_common_elements_buy_deletion_segments():
-    assert sum(ones > 1 for _, _, ones, _ in ngram_join.plans(80, 100, 0.9)[5:25]) > 10
+    assert sum(ones > 1 for _, _, ones, _ in ngram_join.plans(80, 100, 0.9)[5:25]) > 5
     assert all(ones == 0 for _, _, ones, _ in ngram_join.plans(80, 100, 0.01)[5:25])
 
 
