@@ -2,15 +2,17 @@
 
 A text is read as words: runs of letters and digits (A-Z lower-cased) and of characters beyond
 ASCII.  A rule is a regular expression over those words joined by single spaces, gated by a
-keyword that its matches must hold: the expression runs only on texts with the keyword.  Every
+keyword that all its matches hold: the expression runs only on texts with the keyword.  Every
 rule has a priority.  Where one match lies inside another, the one of higher priority stays; of
 equal priorities the longer one; of equal intervals the rule that comes first.
 
-Null and empty texts have no words and no matches.
+Null and empty texts have no words and no matches.  Columns named ``license_words`` and ``licenses``
+are replaced; all others pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,9 @@ _WEIGHT = {GENERIC: 0.4, NAMED: 0.75, EXACT: 0.9}
 
 #: label, keyword, hand-written name pattern, short tags (as in a tag line), versions.
 _LICENSES = (
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e", ("mit", "x11", "mit 0"), ()),
+    ("mit", "mit", r"(?:the )?mit licen[cs]e", ("mit", "mit 0"), ()),
+    ("mit", "expat", r"(?:the )?(?:mit )?expat licen[cs]e", (), ()),
+    ("mit", "x11", r"(?:the )?(?:mit )?x11 licen[cs]e", ("x11",), ()),
     ("apache", "apache", r"(?:the )?apache (?:software )?licen[cs]e", ("apache 1 0", "apache 1 1", "apache 2 0"), ("1 0", "1 1", "2 0")),
     ("gpl", "general public", r"(?:the )?(?:gnu )?general public licen[cs]e", ("gpl 1 0", "gpl 2 0", "gpl 3 0", "gpl 2 0 only", "gpl 3 0 only", "gpl 2 0 or later", "gpl 3 0 or later"), ("1", "2", "3")),
     ("lgpl", "general public", r"(?:the )?(?:gnu )?(?:lesser|library) general public licen[cs]e", ("lgpl 2 0", "lgpl 2 1", "lgpl 3 0", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0 or later"), ("2", "2 1", "3")),
@@ -45,7 +49,8 @@ _LICENSES = (
     ("eupl", "european union", r"(?:the )?european union public licen[cs]e", ("eupl 1 0", "eupl 1 1", "eupl 1 2"), ("1 0", "1 1", "1 2")),
     ("isc", "isc", r"(?:the )?isc licen[cs]e", ("isc",), ()),
     ("zlib", "zlib", r"(?:the )?zlib(?: libpng)? licen[cs]e", ("zlib", "zlib acknowledgement"), ()),
-    ("libpng", "png", r"(?:the )?(?:png reference library|libpng) licen[cs]e", ("libpng", "libpng 2 0"), ()),
+    ("libpng", "libpng", r"(?:the )?libpng licen[cs]e", ("libpng", "libpng 2 0"), ()),
+    ("libpng", "png reference library", r"(?:the )?png reference library licen[cs]e", (), ()),
     ("boost", "boost", r"(?:the )?boost software licen[cs]e", ("bsl 1 0",), ("1 0",)),
     ("busl", "business source", r"(?:the )?business source licen[cs]e", ("busl 1 1",), ("1 1",)),
     ("sspl", "server side", r"(?:the )?server side public licen[cs]e", ("sspl 1 0",), ("1",)),
@@ -86,7 +91,7 @@ _LICENSES = (
 #: label, keyword, pattern: sentences of license texts and short forms that name one license.
 _TEXTS = (
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
-    ("mit", "merchantability", r"the software is provided as is without warranty of any kind express or implied(?: including but not limited to the warranties of merchantability)?"),
+    ("mit", "without warranty of any kind", r"the software is provided as is without warranty of any kind express or implied(?: including but not limited to the warranties of merchantability)?"),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?"),
     ("bsd", "neither the name", r"neither the name of (?:\S+ ){1,12}may be used to endorse or promote products"),
@@ -109,6 +114,51 @@ _TEXTS = (
     ("agpl", "agpl", r"(?:gnu )?agplv?3(?: 0)?(?: or later)?"),
     ("proprietary", "all rights reserved", r"(?:copyright (?:\S+ ){1,8})?all rights reserved"),
     ("proprietary", "confidential", r"proprietary and confidential"),
+    ("mit", "permission notice shall be included", r"(?:the above copyright notice and )?this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "rights to use copy modify", r"rights to use copy modify merge publish distribute sublicen[cs]e and or sell copies of the software"),
+    ("mit", "authors or copyright holders be liable", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("isc", "the author disclaims all warranties", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("isc", "above copyright notice and this permission notice appear", r"provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd", "redistributions of source code must retain", r"redistributions of source code must retain the (?:above )?copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce", r"redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    ("bsd", "copyright holders and contributors as is", r"this software is provided by the copyright holders and contributors as is"),
+    ("bsd", "all advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "regents of the university", r"the regents of the university of california"),
+    ("apache", "distributed on an as is basis", r"software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache", "contributor license agreements", r"licen[cs]ed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache", "worldwide non exclusive no charge royalty free", r"(?:perpetual )?worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) licen[cs]e"),
+    ("apache", "apache software foundation", r"this product includes software developed (?:by|at) the apache software foundation"),
+    ("gpl", "either version", r"either version [123] of the licen[cs]e or at your option any later version"),
+    ("gpl", "received a copy of the gnu general", r"you should have received a copy of the gnu general public licen[cs]e along with this program"),
+    ("gpl", "in the hope that it will be useful", r"this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "the licenses for most software", r"the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change"),
+    ("gpl", "free software foundation", r"published by the free software foundation"),
+    ("lgpl", "received a copy of the gnu lesser", r"you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("lgpl", "this library is free software", r"this library is free software you can redistribute it"),
+    ("agpl", "interacting with it remotely", r"all users interacting with it remotely through a computer network"),
+    ("gfdl", "with no invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", "source code form is subject to the terms", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl", "incompatible with secondary licenses", r"this source code form is incompatible with secondary licenses"),
+    ("epl", "program and the accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl", "covered software", r"subject to the terms of the common development and distribution licen[cs]e (?:\S+ ){0,6}covered software"),
+    ("zlib", "held liable for any damages arising", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "origin of this software must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("boost", "copies of the software must include", r"the copyright notices in the software and this entire statement (?:\S+ ){0,20}copies of the software must include"),
+    ("unlicense", "anyone is free to copy modify publish", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("ofl", "reserved font name", r"with reserved font name"),
+    ("artistic", "standard version", r"you may make and give away verbatim copies of the (?:source form of the )?standard version"),
+    ("python", "python software foundation", r"between the python software foundation psf and the individual or organization"),
+    ("openssl", "openssl project", r"software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "php software", r"this product includes php software"),
+    ("postgresql", "without a written agreement is hereby granted", r"without fee and without a written agreement is hereby granted"),
+    ("cc0", "waived all", r"has waived all copyright and related or neighboring rights"),
+    ("sspl", "make the service source code available", r"you must make the service source code available via network download"),
+    ("busl", "additional use grant", r"additional use grant (?:\S+ ){0,12}licensed work"),
+    ("elastic", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "commons clause", r"commons clause licen[cs]e condition"),
+    ("json", "shall be used for good", r"the software shall be used for good not evil"),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
+    ("proprietary", "may not be copied", r"may not be copied (?:modified )?(?:or )?(?:distributed )?without (?:the )?(?:prior |express )?written permission"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?"),
 )
 
@@ -139,8 +189,10 @@ def rules() -> list[tuple[str, str, int, str]]:
     return found
 
 
-#: What a raw text, lower-cased, needs for any rule to match its words: a word of each pattern is among these.
-GATE = ("licen", "copyright", "spdx", "permission", "merchantability", "redistribut", "endorse", "versions", "apache", "mozilla", "gnu", "public", "unencumbered", "wtfpl", "scripts", "gpl", "reserved", "confidential", "boost", "cc0", "creative", "agreement")
+#: What a raw text, lower-cased, needs for any rule to match its words: each pattern's matches all hold one of these.
+GATE = ("licen", "copyright", "spdx", "permission", "warrant", "redistribut", "endorse", "versions", "apache", "mozilla", "gnu", "public", "unencumbered", "wtfpl", "scripts", "gpl", "reserved", "confidential", "boost", "cc0", "creative", "agreement", "software", "rights", "notice", "advertising", "university", "worldwide", "program", "library", "interacting", "invariant", "secondary", "statement", "verbatim", "foundation", "neighboring", "service", "commons", "beer", "grant")
+#: Matches that are walked over in one piece.
+PIECE = 64
 
 
 def normal_words(text: Column) -> Column:
@@ -152,6 +204,38 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+_SPAN = "struct<start:int,end:int,priority:int,rule:int,label:string>"
+
+
+def _let(value: Column, body: Callable) -> Column:
+    """``body(value)`` with the value worked out once: an expression inside a lambda is worked out at each call."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, start: Column, step: Callable, emit: Callable, state: str, out: str) -> Column:
+    """``emit(state, x)`` for each item in order, where ``step(state, x)`` gives the next item's state.
+
+    An appended array is copied, so the items are cut into pieces: the states at which the pieces
+    begin come first, then each piece is walked by itself.
+    """
+
+    def cut(all_of: Column) -> Column:
+        last = F.floor((F.size(all_of) - 1) / PIECE).cast("int")
+        numbers = F.when(F.size(all_of) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda k: F.slice(all_of, k * PIECE + 1, F.lit(PIECE)))
+
+    def begins(pieces: Column) -> Column:
+        first = F.struct(start.alias("now"), F.array().cast(f"array<{state}>").alias("all"))
+        over = lambda a, piece: F.struct(F.aggregate(piece, a["now"], step).alias("now"), F.array_append(a["all"], a["now"]).alias("all"))
+        return F.aggregate(pieces, first, over, lambda a: a["all"])
+
+    def walk(piece: Column, begin: Column) -> Column:
+        first = F.struct(begin.alias("now"), F.array().cast(f"array<{out}>").alias("all"))
+        return F.aggregate(piece, first, lambda a, x: F.struct(step(a["now"], x).alias("now"), F.array_append(a["all"], emit(a["now"], x)).alias("all")), lambda a: a["all"])
+
+    return _let(items, lambda i: _let(cut(i), lambda pieces: F.flatten(F.zip_with(pieces, begins(pieces), walk))))
+
+
 def _spans(norm: Column, rule: Column) -> Column:
     """All matches of a rule, leftmost first: start and end in code points, priority, order, label.
 
@@ -159,41 +243,42 @@ def _spans(norm: Column, rule: Column) -> Column:
     """
     pattern = F.concat(F.lit("(?<![^ ])(?:"), rule["pattern"], F.lit(")(?![^ ])"))
     pieces, hits = F.split(norm, pattern), F.regexp_extract_all(norm, pattern, F.lit(0))
-    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("a"), hits.alias("b"))
-    nothing = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
-    step = lambda s, x: F.struct(
-        (s["at"] + F.length(x["a"]) + F.length(x["b"])).alias("at"),
-        F.array_append(s["out"], F.struct((s["at"] + F.length(x["a"])).alias("start"), (s["at"] + F.length(x["a"]) + F.length(x["b"])).alias("end"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"))).alias("out"),
-    )
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda s: s["out"])
+    lengths = _let(hits, lambda h: F.zip_with(F.slice(pieces, F.lit(1), F.size(h)), h, lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b"))))
+    ends = running(lengths, F.lit(0), lambda at, x: at + x["a"] + x["b"], lambda at, x: F.struct((at + x["a"]).alias("start"), (at + x["a"] + x["b"]).alias("end")), "int", "struct<start:int,end:int>")
+    return F.transform(ends, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label")))
 
 
 def _without_nested(found: Column) -> Column:
     """Drops a match that lies inside one of at least its priority, or around one of a higher.
 
-    Two walks over the matches in order, each keeping one number a priority, so that long texts
-    with many matches cost no more than their number.
+    Two walks over the matches in order, each keeping one number a priority.
     """
-    kind = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"
+    far = F.lit(2**31 - 1)
     keyed = F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-x["priority"]).alias("low"), x["rule"].alias("rule"), x["label"].alias("label"))))
+    ends = "struct<e0:int,e1:int,e2:int>"
+
+    def reach(s: Column, x: Column) -> Column:
+        return F.struct(*[F.greatest(s[f"e{k}"], F.when(x["low"] == -k, -x["back"]).otherwise(-1)).alias(f"e{k}") for k in range(3)])
 
-    def inside(s: Column, x: Column) -> Column:
-        end, p = -x["back"], -x["low"]
-        reach = F.greatest(s["e2"], F.when(p <= 1, s["e1"]).otherwise(-1), F.when(p <= 0, s["e0"]).otherwise(-1))
-        out = F.when(end <= reach, s["out"]).otherwise(F.array_append(s["out"], F.struct(x["start"].alias("start"), end.alias("end"), p.alias("priority"), x["rule"].alias("rule"), x["label"].alias("label"))))
-        return F.struct(*[F.greatest(s[f"e{k}"], F.when(p == k, end).otherwise(-1)).alias(f"e{k}") for k in range(3)], out.alias("out"))
+    def outside(s: Column, x: Column) -> Column:
+        p = -x["low"]
+        covered = -x["back"] <= F.greatest(s["e2"], F.when(p <= 1, s["e1"]).otherwise(-1), F.when(p <= 0, s["e0"]).otherwise(-1))
+        return F.when(~covered, F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), p.alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))
 
-    start = F.struct(*[F.lit(-1).alias(f"e{k}") for k in range(3)], F.array().cast(kind).alias("out"))
-    outer = F.aggregate(keyed, start, inside, lambda s: s["out"])
+    first = F.struct(*[F.lit(-1).alias(f"e{k}") for k in range(3)])
+    outer = F.filter(running(keyed, first, reach, outside, ends, _SPAN), lambda x: x.isNotNull())
     backwards = F.reverse(F.sort_array(F.transform(outer, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["priority"].alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))))
 
-    def around(s: Column, x: Column) -> Column:
-        end, p, far = -x["back"], x["priority"], F.lit(2**31 - 1)
+    def nearest(s: Column, x: Column) -> Column:
+        return F.struct(*[F.least(s[f"e{k}"], F.when(x["priority"] == k, -x["back"]).otherwise(far)).alias(f"e{k}") for k in range(3)])
+
+    def empty(s: Column, x: Column) -> Column:
+        p = x["priority"]
         least = F.least(F.when(p < 1, s["e1"]).otherwise(far), F.when(p < 2, s["e2"]).otherwise(far))
-        out = F.when(least <= end, s["out"]).otherwise(F.array_append(s["out"], F.struct(x["start"].alias("start"), end.alias("end"), p.alias("priority"), x["rule"].alias("rule"), x["label"].alias("label"))))
-        return F.struct(*[F.least(s[f"e{k}"], F.when(p == k, end).otherwise(far)).alias(f"e{k}") for k in (1, 2)], out.alias("out"))
+        return F.when(least > -x["back"], F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), p.alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))
 
-    return F.reverse(F.aggregate(backwards, F.struct(F.lit(2**31 - 1).alias("e1"), F.lit(2**31 - 1).alias("e2"), F.array().cast(kind).alias("out")), around, lambda s: s["out"]))
+    last = F.struct(*[far.alias(f"e{k}") for k in range(3)])
+    return F.reverse(F.filter(running(backwards, last, nearest, empty, ends, _SPAN), lambda x: x.isNotNull()))
 
 
 def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -203,10 +288,13 @@ def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
     priority, rule and label.
     """
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(w).alias("priority"), F.lit(n).alias("rule"), F.lit(label).alias("label")) for n, (k, p, w, label) in enumerate(rules())])
-    lowered = documents.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    out = lowered.withColumn("license_words", F.when(_gate(F.col("__low")), normal_words(F.col(text)))).drop("__low")
+    low = "__low"
+    while low in documents.columns:
+        low += "_"
+    lowered = documents.withColumn(low, F.lower(F.coalesce(F.col(text), F.lit(""))))
+    out = lowered.withColumn("license_words", F.when(_gate(F.col(low)), normal_words(F.col(text)))).drop(low)
     norm = F.col("license_words")
-    none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     live = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
     found = F.flatten(F.transform(live, lambda r: _spans(norm, r)))
     out = out.withColumn("licenses", F.when(norm.isNull(), none).otherwise(found))

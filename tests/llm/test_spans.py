@@ -1,6 +1,9 @@
 """Licenses and personal data: edge cases and plain versions."""
 
+import random
 import re
+import re._constants as constants
+import re._parser as parser
 
 from pyspark.sql import functions as F
 
@@ -40,11 +43,56 @@ def test_nested_matches_give_way(spark):
     assert [x.label for x in found[9].licenses] == ["apache", "apache-2.0"] or [x.label for x in found[9].licenses] == ["apache-2.0"]
 
 
-def test_every_rule_passes_its_own_gate(spark):
-    texts = [(k, keyword) for k, (keyword, *_) in enumerate(licenses.rules())]
-    assert len(texts) > 200
+def held(parsed):
+    """Runs of letters that every match of a pattern holds."""
+    out = [""]
+    for op, arg in parsed:
+        if op is constants.LITERAL:
+            out[-1] += chr(arg)
+        elif op is constants.SUBPATTERN:
+            inner = held(arg[3])
+            out[-1] += inner[0]
+            out += inner[1:]
+        else:
+            out.append("")
+    return out
+
+
+def test_every_match_of_a_rule_holds_its_keyword_and_passes_the_gate():
+    assert len(licenses.rules()) > 400
     for keyword, pattern, priority, _ in licenses.rules():
-        assert priority in (0, 1, 2) and re.compile(pattern)
+        assert priority in (0, 1, 2)
+        literals = held(parser.parse(pattern))
+        assert any(keyword in x for x in literals), pattern
+        assert keyword.startswith("cc by") or any(g in x for g in licenses.GATE for x in literals), pattern
+
+
+def test_names_without_the_label_are_found(spark):
+    rows = [(1, "This is under the X11 license."), (2, "Released under the Expat License."), (3, 'The software is provided "as is", without warranty of any kind, express or implied')]
+    assert [[x.label for x in r.licenses] for r in sorted(scan(spark, rows), key=lambda r: r.doc_id)] == [["mit"]] * 3
+
+
+def plain_matches(text):
+    norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).strip(" ")
+    found = []
+    for k, (_, pattern, priority, label) in enumerate(licenses.rules()):
+        found += [(m.start(), m.end(), priority, k, label) for m in re.finditer(f"(?<![^ ])(?:{pattern})(?![^ ])", norm)]
+    found.sort(key=lambda x: (x[0], -x[1], -x[2], x[3]))
+    inside = [x for n, x in enumerate(found) if not any(y[0] <= x[0] and x[1] <= y[1] and y[2] >= x[2] and (y[:3] != x[:3] or m < n) and (y[2] > x[2] or y[:2] != x[:2] or m < n) for m, y in enumerate(found) if m < n)]
+    return [x for x in inside if not any(x[0] <= y[0] and y[1] <= x[1] and y[2] > x[2] for y in inside if y is not x)]
+
+
+def test_suppression_equals_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["mit license", "licensed under the", "apache license version 2 0", "the gnu general public license", "gplv3 or later", "version 3", "public domain", "is in the public domain", "see license", "copyright c 2020", "all rights reserved", "released under the terms of the", "bsd license", "x", "Apache Software License", "creative commons", "cc by sa 4 0", "affero", "general public license"]
+    rows = [(k, " ".join(rng.choice(parts) for _ in range(rng.choice([3, 10, 40, 300])))) for k in range(40)]
+    for r in scan(spark, rows):
+        assert [tuple(x) for x in r.licenses] == plain_matches(r.text), r.text
+
+
+def test_many_matches_in_one_text(spark):
+    (r,) = scan(spark, [(1, "see the MIT license and " * 20_000)])
+    assert len(r.licenses) == 20_000 and r.n_base == 20_000 and r.labels == "mit"
 
 
 def test_no_rows(spark):
