@@ -6,8 +6,9 @@ A document is the mean over its chunks of these maxima, plus the mean over all b
 filter's rectified answers, and a logistic layer turns that into one probability.  Filters are
 tables (one number for each place and byte), so a convolution is a few table look-ups.
 
-Training runs on the driver over a bounded sample: chunks of at most ``SAMPLE_DOCUMENTS`` labelled
-documents, at most ``SAMPLE_CHUNKS`` of each, drawn by hash.  Scoring reads every byte of every
+Training runs on the driver over the whole texts of at most ``SAMPLE_DOCUMENTS`` labelled documents,
+drawn by hash: the filters learn from all of their chunks, each text's together weighing as much as
+any other's, and the output layer is then fitted on whole texts.  Scoring reads every byte of every
 document.  A null text is scored as an empty one: an empty chunk.  Without labels of both kinds
 every score is the share of label 1 (0.5 without any label).
 """
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barframe.llm.text import utf8_parts
 
@@ -28,12 +30,11 @@ CHUNK = 256
 STEP = 192
 WIDTH = 4
 FILTERS = 12
-#: The sample that a model is trained on.
-SAMPLE_DOCUMENTS = 3000
-SAMPLE_CHUNKS = 3
+#: Labelled documents that a model is trained on.
+SAMPLE_DOCUMENTS = 1500
 #: Bytes at which a text's answers weigh as much as the share of label 1 in the sample.
 SHORT = 64
-ROUNDS = 10
+ROUNDS = 5
 BATCH = 64
 RATE = 0.02
 #: A document is of good quality from this score on.
@@ -88,13 +89,16 @@ def score_text(model: Model, text: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(samples: list[tuple[np.ndarray, int]], seed: int = 7) -> Model:
-    """Learns filters and output layer by Adam on the logistic loss over (bytes, label) samples."""
+def train(documents: list[tuple[np.ndarray, int]], seed: int = 7) -> Model:
+    """Learns filters and output layer by Adam on the logistic loss over all chunks of (bytes, label) documents."""
     rng = np.random.default_rng(seed)
+    starts = [chunk_starts(len(x)) for x, _ in documents]
+    samples = [(x[s : s + CHUNK], y) for (x, y), own in zip(documents, starts) for s in own]
     labels = np.array([y for _, y in samples])
     empty = np.zeros((WIDTH, 256, FILTERS), np.float32)
     if len(set(labels.tolist())) < 2:
         return Model(empty, np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), 0.0, 0.0, float(labels.mean()) if len(labels) else 0.5)
+    share = np.concatenate([np.full(len(own), 1 / len(own)) for own in starts])
     tables = rng.normal(0, 0.3, empty.shape).astype(np.float32)
     offsets, weights, bias = np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, 2 * FILTERS), 0.0
     padded = np.zeros((len(samples), CHUNK + WIDTH), np.uint8)
@@ -104,7 +108,7 @@ def train(samples: list[tuple[np.ndarray, int]], seed: int = 7) -> Model:
     inside = np.arange(CHUNK)[None, :] < sizes[:, None]
     state = [[np.zeros_like(np.asarray(p, np.float64)) for _ in range(2)] for p in (tables, offsets, weights, bias)]
     turn = 0
-    balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
+    balance = share * np.where(labels == 1, 0.5 / share[labels == 1].sum(), 0.5 / share[labels == 0].sum()) * len(labels)
     for _ in range(ROUNDS):
         order = rng.permutation(len(samples))
         for at in range(0, len(order), BATCH):
@@ -166,34 +170,15 @@ def training_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 != 2
 
 
-def _sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8_parts(batch.column(1))
-        docs, chunks, labels = [], [], []
-        for k, (doc, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            text = data[offsets[k] : offsets[k + 1]]
-            starts = chunk_starts(len(text))
-            rng = np.random.default_rng(doc & 0xFFFFFFFF)
-            for s in rng.permutation(starts)[:SAMPLE_CHUNKS]:
-                docs.append(doc)
-                chunks.append(text[s : s + CHUNK].tobytes())
-                labels.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(chunks, pa.binary()), pa.array(labels, pa.int32())], names=["doc", "chunk", "label"])
-
-
 def fit_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model fitted on a bounded sample of the labelled documents of the training fold."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & training_fold(F.col(doc_id))).select(F.col(doc_id).cast("long").alias("__doc"), F.col(label).cast("int").alias("__label"))
     drawn = known.orderBy(F.xxhash64("__doc"), "__doc", "__label").limit(SAMPLE_DOCUMENTS)
     texts = documents.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).alias("__text"))
-    sample = texts.join(F.broadcast(drawn), "__doc").select("__doc", "__text", "__label").mapInArrow(_sample_chunks, "doc long, chunk binary, label int")
-    rows = sorted(sample.collect(), key=lambda r: (r.doc, bytes(r.chunk), r.label))
-    chunks = [(np.frombuffer(bytes(r.chunk), np.uint8), r.label) for r in rows]
-    whole: dict[tuple[int, int], list[np.ndarray]] = {}
-    for r, (x, _) in zip(rows, chunks):
-        whole.setdefault((r.doc, r.label), []).append(x)
-    model = train(chunks)
-    return calibrate(model, [(np.concatenate(v), y) for (_, y), v in whole.items()])
+    rows = texts.join(F.broadcast(drawn), "__doc").select("__doc", F.encode(F.coalesce("__text", F.lit("")), "UTF-8").alias("__text"), "__label").collect()
+    rows.sort(key=lambda r: (r["__doc"], r["__label"], bytes(r["__text"])))
+    sample = [(np.frombuffer(bytes(r["__text"]), np.uint8), r["__label"]) for r in rows]
+    return calibrate(train(sample), sample)
 
 
 def score_quality(documents: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
@@ -208,7 +193,7 @@ def score_quality(documents: DataFrame, model: Model, text: str = "text", into:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(text).alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, score double"
+    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("score", T.DoubleType())])
     return packed.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in own], F.col("score").alias(into))
 
 

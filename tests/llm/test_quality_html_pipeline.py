@@ -15,6 +15,24 @@ def test_chunks_cover_every_byte():
         assert starts[0] == 0 and starts[-1] + quality.CHUNK >= n and (np.diff(starts) == quality.STEP).all()
 
 
+def test_features_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(5)
+    tables = rng.normal(0, 1, (quality.WIDTH, 256, quality.FILTERS)).astype(np.float32)
+    offsets = rng.normal(0, 1, quality.FILTERS).astype(np.float32)
+    for n in (0, 1, 3, 4, 70, 256, 257, 700, 2000):
+        text = rng.integers(0, 256, n).astype(np.uint8)
+        padded = list(text) + [0] * quality.WIDTH
+        answers = [[max(0.0, offsets[f] + sum(tables[k][padded[at + k]][f] for k in range(quality.WIDTH))) for f in range(quality.FILTERS)] for at in range(max(1, n - quality.WIDTH + 1))]
+        peaks = [np.max(answers[s : s + quality.CHUNK], axis=0) for s in quality.chunk_starts(n) if s < len(answers)]
+        assert np.allclose(quality.features(tables, offsets, text), np.concatenate([np.mean(peaks, axis=0), np.mean(answers, axis=0)]), atol=1e-4), n
+
+
+def test_odd_columns_and_repeated_rows_are_scored(spark):
+    table = spark.createDataFrame([(1, "a b", 2), (1, "a b", 2), (None, None, None)], "doc_id long, text string, `my col` long")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.score_quality(table, quality.fit_quality(table, labels)).columns == ["doc_id", "text", "my col", "quality_score"]
+
+
 def test_held_out_documents_are_told_apart(spark):
     rows = quality.op4_quality(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", "quality"), "doc_id").filter("held_out").collect()
     assert len(rows) > 50 and sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
