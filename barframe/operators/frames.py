@@ -9,6 +9,7 @@ only lead (bar columns, results of other functions) need no compaction: ``dense=
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def rolling(bars: DataFrame, x: str, n: int, out: str, make: Callable[[Column, W
     return bars.withColumn("__own", own).withColumn(out, F.last("__own", ignorenulls=True).over(running())).drop("__own")
 
 
+def compacting(bars: DataFrame, columns: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` adds, worked out over the bars that have all of ``columns``; other bars keep the last of it.
+
+    The bars with values are a partition of their own while ``make`` works, so its windows see
+    them side by side, in the same single shuffle.
+    """
+    present = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+    keyed = bars.withColumns({"__symbol": F.col("symbol"), "__there": present}).withColumn("symbol", F.struct("symbol", "__there"))
+    made = make(keyed)
+    new = [c for c in made.columns if c not in keyed.columns]
+    back = made.withColumn("symbol", F.col("__symbol")).withColumns({c: F.when(F.col("__there"), F.col(c)) for c in new})
+    return back.withColumns({c: F.last(c, ignorenulls=True).over(running()) for c in new}).drop("__symbol", "__there")
+
+
 def staged(bars: DataFrame, temporary: dict[str, Column], out: dict[str, Column]) -> DataFrame:
     """Columns that need other window columns below them; the temporary ones go again."""
     return bars.withColumns(temporary).withColumns(out).drop(*temporary)

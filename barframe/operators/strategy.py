@@ -96,11 +96,11 @@ def _batch(rows: list[tuple], names: list[str], time: pa.DataType | None) -> pa.
 
 def _ordered(signals: DataFrame) -> DataFrame:
     ranked = signals.withColumn("__r", F.when(F.col("kind") == "entry", 0).otherwise(1))
-    return ranked.repartition("symbol").sortWithinPartitions("symbol", "bar_index", "__r", "ident", "kind").drop("__r")
+    return ranked.repartition("symbol").sortWithinPartitions("symbol", "bar_index", "__r", "ident", "kind", "qty", "comment").drop("__r")
 
 
 def trades(signals: DataFrame, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
-    """Closed trades with profit: on a bar entries come first, lots close in the order of entry."""
+    """Closed trades with profit: on a bar entries come first, then by id, kind and quantity; lots close in the order of entry."""
     matched = _ordered(signals).mapInArrow(_match(slippage, True), TRADE)
     sign = F.when(F.col("direction") == "short", -1.0).otherwise(1.0)
     move = (F.col("exit_price") - F.col("entry_price")) * sign
@@ -123,7 +123,7 @@ def equity_curve(closed: DataFrame, capital: float = 100_000.0) -> DataFrame:
     """Equity after each closed trade, its peak so far and the drawdown from it."""
     order = Window.partitionBy("symbol").orderBy("exit_bar", "entry_bar", "entry_id", "exit_id", "qty")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    equity = closed.withColumn("trade", F.row_number().over(order)).withColumn("equity", capital + F.sum("pnl").over(run))
+    equity = closed.withColumn("trade", F.row_number().over(order).cast("long")).withColumn("equity", capital + F.sum("pnl").over(run))
     peaked = equity.withColumn("peak", F.greatest(F.lit(capital), F.max("equity").over(run)))
     return peaked.select("symbol", "trade", "exit_bar", "exit_time", "pnl", "equity", "peak", (F.col("peak") - F.col("equity")).alias("drawdown"))
 

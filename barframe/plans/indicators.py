@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barframe.functions import ta
-from barframe.operators.frames import bar_index, last, ordered
+from barframe.operators.frames import bar_index, compacting, last, ordered
 from barframe.sources.bars import event_bars
 
 BARS = """bars AS (
@@ -161,3 +161,42 @@ _add("rolling_sum", lambda b: ta.rolling_sum(b, "close", 10, "total"), {"total":
 _add("rolling_avg", lambda b: ta.rolling_avg(b, "close", 10, "mean"), {"mean": f"CASE WHEN k >= 10 THEN avg(close) OVER {_frame(10)} END"})
 _add("history", lambda b: bar_index(b).withColumn("before", F.lag("close", 3).over(ordered())), {"before": f"lag(close, 3) OVER ({_W})", "bar_index": "k - 1", "is_first": "k = 1", "is_last": f"lead(time) OVER ({_W}) IS NULL"}, also=("bar_index", "is_first", "is_last"))
 
+
+def _gaps(b: DataFrame) -> DataFrame:
+    """Bars of which each seventh lacks its values, with the compacting indicators."""
+    there = F.row_number().over(ordered()) % 7 != 4
+    b = b.withColumns({c: F.when(there, F.col(c)) for c in ("open", "high", "low", "close", "volume", "hlc3")})
+
+    def make(own: DataFrame) -> DataFrame:
+        own = ta.vwma(ta.swma(ta.roc(own, "close", 10), "close"), "close", 10)
+        own = ta.bbw(ta.bb(ta.cci(own, "hlc3", 20), "close", 20, 2.0), "close", 20, 2.0)
+        own = ta.correlation(ta.wpr(ta.stoch(own, "close", "high", "low", 14), 14), "close", "volume", 10)
+        own = ta.percentrank(ta.linreg(own, "close", 10), "close", 10)
+        return ta.crossover(ta.falling(ta.rising(own, "close", 2), "close", 2), "close", "hlc3")
+
+    return compacting(b, ["open", "high", "low", "close", "volume"], make)
+
+
+_THERE = f""", g AS (SELECT * FROM b WHERE k % 7 <> 4), p AS (
+  SELECT symbol, time, high, low, close, volume, hlc3, row_number() OVER ({_W}) AS k, lag(close) OVER ({_W}) AS pc FROM g
+), q AS (
+  SELECT *, {_list(20, "hlc3")} AS l, avg(hlc3) OVER {_frame(20)} AS m, coalesce(CASE WHEN close > pc THEN 1 ELSE 0 END, 0) AS su, coalesce(CASE WHEN close < pc THEN 1 ELSE 0 END, 0) AS sd FROM p
+)"""
+_GAPS = {
+    "roc": f"(close - lag(close, 10) OVER ({_W})) / nullif(lag(close, 10) OVER ({_W}), 0) * 100",
+    "swma": f"(lag(close, 3) OVER ({_W}) + 2 * lag(close, 2) OVER ({_W}) + 2 * pc + close) / 6",
+    "vwma": _full(10, f"sum(close * volume) OVER {_frame(10)} / sum(volume) OVER {_frame(10)}"),
+    "cci": f"CASE WHEN len(l) = 20 THEN (hlc3 - m) / nullif(0.015 * {_DEV}, 0) END",
+    "bb_upper": _full(20, f"avg(close) OVER {_frame(20)} + 2 * stddev_pop(close) OVER {_frame(20)}"),
+    "bbw": _full(20, f"4 * stddev_pop(close) OVER {_frame(20)} / nullif(avg(close) OVER {_frame(20)}, 0)"),
+    "stoch": _full(14, f"(close - min(low) OVER {_frame(14)}) / nullif(max(high) OVER {_frame(14)} - min(low) OVER {_frame(14)}, 0) * 100"),
+    "wpr": f"(max(high) OVER {_frame(14)} - close) / nullif(max(high) OVER {_frame(14)} - min(low) OVER {_frame(14)}, 0) * -100",
+    "correlation": f"CASE WHEN count(close) OVER {_frame(10)} = 10 AND min(volume) OVER {_frame(10)} < max(volume) OVER {_frame(10)} AND min(close) OVER {_frame(10)} < max(close) OVER {_frame(10)} THEN corr(close, volume) OVER {_frame(10)} END",
+    "linreg": _full(10, f"regr_intercept(close, CAST(k AS DOUBLE)) OVER {_frame(10)} + regr_slope(close, CAST(k AS DOUBLE)) OVER {_frame(10)} * k"),
+    "percentrank": _full(10, f"len(list_filter({_list(10)}, lambda v: v <= close)) * 10.0"),
+    "rising": f"sum(su) OVER {_frame(2)} = 2",
+    "falling": f"sum(sd) OVER {_frame(2)} = 2",
+    "crossover": f"coalesce(pc <= lag(hlc3) OVER ({_W}) AND close > hlc3, false)",
+}
+_CARRY = _THERE + f", r AS (SELECT symbol, time, {', '.join(f'{v} AS {c}' for c, v in _GAPS.items())} FROM q), z AS (SELECT symbol, time, {', '.join(f'last_value(r.{c} IGNORE NULLS) OVER {_all()} AS {c}' for c in _GAPS)} FROM b LEFT JOIN r USING (symbol, time))"
+_add("gaps", _gaps, {c: c for c in _GAPS}, _CARRY, "z", ("rising", "falling", "crossover"))

@@ -137,6 +137,52 @@ _CROSS = f"""WITH {BARS}, m AS (
 ), x AS (
   SELECT *, coalesce(lag(f5) OVER w <= lag(f20) OVER w AND f5 > f20, false) AS up, coalesce(lag(f5) OVER w >= lag(f20) OVER w AND f5 < f20, false) AS down FROM m WINDOW w AS (PARTITION BY symbol ORDER BY time)
 )"""
+#: Lots of one entry id are intervals of its cumulative quantity, and so is what each close takes: a trade is where two overlap.
+_LOTS = _CROSS.replace("WITH ", "WITH RECURSIVE ", 1) + """, sig AS (
+  SELECT symbol, bar_index, close, 'L' AS lot, 0 AS r, 'L' AS ident, 'entry' AS kind, 2.0::DOUBLE AS qty FROM x WHERE up UNION ALL SELECT symbol, bar_index, close, 'S', 0, 'S', 'entry', 1.0::DOUBLE FROM x WHERE down
+  UNION ALL SELECT symbol, bar_index, close, 'L', 1, 'L', 'close', 0.0::DOUBLE FROM x WHERE down UNION ALL SELECT symbol, bar_index, close, 'S', 1, 'X', 'exit', 0.0::DOUBLE FROM x WHERE up
+  UNION ALL SELECT symbol, bar_index, close, 'L', 1, 'L', 'close', 1.0::DOUBLE FROM x WHERE bar_index % 50 = 49
+), ev AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol, lot ORDER BY bar_index, r, ident, kind, qty) AS n FROM sig
+), walk AS (
+  SELECT symbol, lot, n, CASE WHEN r = 0 THEN qty ELSE 0.0::DOUBLE END AS open, 0.0::DOUBLE AS used FROM ev WHERE n = 1
+  UNION ALL
+  SELECT e.symbol, e.lot, e.n, CASE WHEN e.r = 0 THEN w.open + e.qty WHEN e.qty = 0 THEN 0.0::DOUBLE ELSE greatest(w.open - e.qty, 0.0::DOUBLE) END, CASE WHEN e.r = 0 THEN 0.0::DOUBLE WHEN e.qty = 0 THEN w.open ELSE least(w.open, e.qty) END
+  FROM walk w JOIN ev e ON e.symbol = w.symbol AND e.lot = w.lot AND e.n = w.n + 1
+), cum AS (
+  SELECT ev.*, w.used, sum(CASE WHEN r = 0 THEN qty ELSE 0 END) OVER o AS eb, sum(w.used) OVER o AS cb FROM ev JOIN walk w USING (symbol, lot, n) WINDOW o AS (PARTITION BY symbol, lot ORDER BY n)
+), paired AS (
+  SELECT e.symbol, e.ident AS entry_id, c.ident AS exit_id, CASE WHEN e.lot = 'L' THEN 'long' ELSE 'short' END AS direction, e.bar_index AS entry_bar, c.bar_index AS exit_bar,
+         e.close + CASE WHEN e.lot = 'L' THEN 0.01 ELSE -0.01 END::DOUBLE AS entry_price, c.close - CASE WHEN e.lot = 'L' THEN 0.01 ELSE -0.01 END::DOUBLE AS exit_price, least(e.eb, c.cb) - greatest(e.eb - e.qty, c.cb - c.used) AS qty
+  FROM cum e JOIN cum c ON e.symbol = c.symbol AND e.lot = c.lot AND e.r = 0 AND c.r = 1 AND least(e.eb, c.cb) > greatest(e.eb - e.qty, c.cb - c.used)
+), t AS (
+  SELECT *, gross_pnl - commission - slippage_cost AS pnl FROM (
+    SELECT *, move * qty AS gross_pnl, (abs(entry_price) + abs(exit_price)) * qty * (0.1 / 100)::DOUBLE AS commission, 0.01::DOUBLE * qty * 2 AS slippage_cost, coalesce(move / nullif(entry_price, 0) * 100, 0) AS pnl_percent, greatest(exit_bar - entry_bar, 0) AS bars_held
+    FROM (SELECT *, (exit_price - entry_price) * CASE WHEN direction = 'short' THEN -1.0 ELSE 1.0 END::DOUBLE AS move FROM paired))
+), eq AS (
+  SELECT *, greatest(100000.0::DOUBLE, max(equity) OVER (o ROWS UNBOUNDED PRECEDING)) AS peak FROM (SELECT *, row_number() OVER o AS trade, 100000.0::DOUBLE + sum(pnl) OVER (o ROWS UNBOUNDED PRECEDING) AS equity FROM t WINDOW o AS (PARTITION BY symbol ORDER BY exit_bar, entry_bar, entry_id, exit_id, qty))
+  WINDOW o AS (PARTITION BY symbol ORDER BY exit_bar, entry_bar, entry_id, exit_id, qty)
+)"""
+
+
+def _rounded(value: str, name: str) -> str:
+    return f"round(round({value}, 9), 6) + 0.0 AS {name}"
+
+
+def _report_sql() -> str:
+    doubles = {
+        "net_profit": "sum(pnl)", "gross_profit": "coalesce(sum(pnl) FILTER (pnl > 0), 0)", "gross_loss": "coalesce(-sum(pnl) FILTER (pnl < 0), 0)", "commission": "sum(commission)", "slippage_cost": "sum(slippage_cost)",
+        "largest_win": "max(pnl)", "largest_loss": "min(pnl)", "average_trade": "avg(pnl)", "average_win": "avg(pnl) FILTER (pnl > 0)", "average_loss": "avg(pnl) FILTER (pnl < 0)", "average_bars_held": "avg(bars_held)",
+        "long_profit": "coalesce(sum(pnl) FILTER (direction = 'long'), 0)", "short_profit": "coalesce(sum(pnl) FILTER (direction = 'short'), 0)", "win_rate": "count(*) FILTER (pnl > 0) * 100.0 / count(*)",
+        "profit_factor": "coalesce(sum(pnl) FILTER (pnl > 0), 0) / nullif(coalesce(-sum(pnl) FILTER (pnl < 0), 0), 0)", "net_profit_percent": "sum(pnl) / 100000.0::DOUBLE * 100", "equity": "100000.0::DOUBLE + sum(pnl)", "max_drawdown": "max(peak - equity)",
+    }
+    counts = {"closed_trades": "count(*)", "winning_trades": "count(*) FILTER (pnl > 0)", "losing_trades": "count(*) FILTER (pnl < 0)"}
+    for side in ("long", "short"):
+        counts |= {f"{side}_trades": f"count(*) FILTER (direction = '{side}')", f"{side}_wins": f"count(*) FILTER (direction = '{side}' AND pnl > 0)"}
+    return f"{_LOTS} SELECT symbol, {', '.join(f'{v} AS {c}' for c, v in counts.items())}, {', '.join(_rounded(v, c) for c, v in doubles.items())} FROM eq GROUP BY symbol"
+
+
+_MONEY = ("entry_price", "exit_price", "qty", "gross_pnl", "commission", "slippage_cost", "pnl", "pnl_percent")
 _AVERAGE = """, h AS (SELECT symbol, max(time) AS time, list(close ORDER BY time) AS cl, arg_max(close, time) AS close, arg_max(volume, time) AS ticks FROM bars GROUP BY symbol)"""
 QUERIES: dict[str, Callable] = {f.__name__: f for f in (bars_events, bars_orders, bars_resampled, bars_newest, bars_csv, strategy_signals, strategy_trades, strategy_report, strategy_equity, strategy_open, output_plots, output_json, output_alerts, stream_bars, stream_average)}
 ORACLE_SQL: dict[str, str] = {
@@ -148,6 +194,10 @@ ORACLE_SQL: dict[str, str] = {
     "strategy_signals": f"""{_CROSS} SELECT symbol, bar_index, epoch_ms(time) AS time_ms, kind, ident, direction, qty, close AS price, comment FROM (
       SELECT *, 'entry' AS kind, 'L' AS ident, 'strategy.long' AS direction, 2.0::DOUBLE AS qty, NULL::VARCHAR AS comment FROM x WHERE up UNION ALL SELECT *, 'close', 'L', '', 0.0::DOUBLE, NULL FROM x WHERE down
       UNION ALL SELECT *, 'entry', 'S', 'strategy.short', 1.0::DOUBLE, NULL FROM x WHERE down UNION ALL SELECT *, 'exit', 'X', '', 0.0::DOUBLE, 'S' FROM x WHERE up UNION ALL SELECT *, 'close', 'L', '', 1.0::DOUBLE, NULL FROM x WHERE bar_index % 50 = 49)""",
+    "strategy_trades": f"{_LOTS} SELECT symbol, entry_id, exit_id, direction, entry_bar, exit_bar, {', '.join(_rounded(c, c) for c in _MONEY)}, bars_held FROM t",
+    "strategy_report": _report_sql(),
+    "strategy_equity": f"{_LOTS} SELECT symbol, trade, exit_bar, {', '.join(_rounded(c, c) for c in ('pnl', 'equity', 'peak'))}, {_rounded('peak - equity', 'drawdown')} FROM eq",
+    "strategy_open": f"{_LOTS}, gone AS (SELECT symbol, lot, max(cb) AS taken FROM cum GROUP BY ALL) SELECT symbol, ident, CASE WHEN lot = 'L' THEN 'long' ELSE 'short' END AS direction, bar_index, close AS price, least(qty, eb - taken) AS qty FROM cum JOIN gone USING (symbol, lot) WHERE r = 0 AND eb > taken",
     "output_plots": f"""{_CROSS} SELECT symbol, title, round(round(arg_max(value, time), 9), 6) + 0.0 AS value, count(*) AS bars FROM (
       SELECT symbol, time, 'fast' AS title, f5 AS value FROM x UNION ALL SELECT symbol, time, 'slow', f20 FROM x UNION ALL SELECT symbol, time, 'above', CASE WHEN f5 > f20 THEN 1.0 ELSE 0.0 END FROM x) GROUP BY ALL""",
     "output_alerts": f"{_CROSS} SELECT symbol, epoch_ms(time) AS time_ms, 'above' AS title FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS n FROM x WHERE close > f20) WHERE n <= 100",
