@@ -27,9 +27,9 @@ from barframe.llm.text import mix
 
 #: Code points that a key needs for its line to be dropped.
 LEAST = 10
-#: Shards of the index, and buckets of documents, for each shuffle partition.
-SHARDS_PER_PARTITION = 4
-BUCKETS_PER_PARTITION = 8
+#: Shards of the index, and buckets of documents, for each shuffle partition; and the bytes of text for one more of them.
+SHARDS_PER_PARTITION, SHARD_BYTES = 4, 16 << 20
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 8, 32 << 20
 _BLANKS = " \t\n\x0b\x0c\r"
 _LEVELS = 48
 
@@ -169,9 +169,16 @@ def _apply(least: int):
     return run
 
 
-def line_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def _groups(documents: DataFrame, text: str) -> tuple[int, int]:
+    """How many shards and buckets keep a group small, whatever the size of the table."""
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    volume = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(SHARDS_PER_PARTITION * partitions, volume // SHARD_BYTES), max(BUCKETS_PER_PARTITION * partitions, volume // BUCKET_BYTES)
+
+
+def line_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, shards: int | None = None) -> DataFrame:
     """The index: one row for each shard of the distinct line hashes."""
-    shards = SHARDS_PER_PARTITION * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or _groups(documents, text)[0]
     lines = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(_lines(least), "doc long, h1 long, h2 long")
     counted = lines.groupBy(F.pmod("h1", F.lit(shards)).cast("long").alias("shard"), "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
     return counted.groupBy("shard").applyInArrow(_build, _INDEX)
@@ -182,19 +189,19 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     The two counts replace columns of the same names.
     """
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards, buckets = SHARDS_PER_PARTITION * partitions, BUCKETS_PER_PARTITION * partitions
-    own = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(doc_id).cast("long")))
-    bucket = F.pmod(own, F.lit(buckets)).cast("long")
-    index = line_index(documents, doc_id, text, least)
-    lines = documents.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(_lines(least), "doc long, h1 long, h2 long")
-    probes = lines.select(F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("long").alias("bucket"), F.pmod("h1", F.lit(shards)).cast("long").alias("shard"), "h1", "h2").distinct()
+    shards, buckets = _groups(documents, text)
+    known, unknown = documents.filter(F.col(doc_id).isNotNull()), documents.filter(F.col(doc_id).isNull())
+    bucket = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), F.lit(buckets)).cast("long")
+    index = line_index(documents, doc_id, text, least, shards)
+    lines = known.select(bucket, text).mapInArrow(_lines(least), "doc long, h1 long, h2 long").withColumnRenamed("doc", "bucket")
+    probes = lines.select("bucket", F.pmod("h1", F.lit(shards)).cast("long").alias("shard"), "h1", "h2").distinct()
     answers = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "bucket long, h1 long, h2 long, first long")
-    rows = documents.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), bucket.alias("bucket"))
+    rows = known.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), bucket.alias("bucket"))
     schema = T.StructType([T.StructField("row", documents.schema), T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     done = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_apply(least), schema)
+    whole = unknown.select(F.struct("*").alias("row"), F.col(text).alias("kept"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     same = [F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    return done.select(*same, "n_lines", "n_dropped")
+    return done.union(whole).select(*same, "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark, folder: str) -> DataFrame:
