@@ -40,6 +40,24 @@ def for_until(items: Column, initial: Column, body: Callable[[Column, Column], C
     return F.aggregate(items, state, turn)["v"]
 
 
+def while_loop(initial: dict[str, Column], condition: Callable[[Column], Column], body: Callable[[Column], dict[str, Column]], most: Column) -> Column:
+    """Turns while ``condition(state)`` holds, at most ``most`` of them; gives the last state as a struct.
+
+    ``body(state)`` gives the fields that change.  To continue with the next turn, it gives a field's
+    old value; to break, it makes the condition false.  A null condition ends the loop.
+    """
+    names = list(initial)
+    state = lambda values, going: F.struct(*[values[n].alias(n) for n in names], going.alias("__going"))
+
+    def turn(s: Column, _: Column) -> Column:
+        going = s["__going"] & F.coalesce(condition(s), F.lit(False))
+        new = body(s)
+        return F.when(going, state({n: new.get(n, s[n]) for n in names}, F.lit(True))).otherwise(state({n: s[n] for n in names}, F.lit(False)))
+
+    turns = F.when(most > 0, F.sequence(F.lit(1), F.greatest(most, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(turns, state(initial, F.lit(True)), turn, lambda s: F.struct(*[s[n].alias(n) for n in names]))
+
+
 def persistent(inputs: tuple[str, ...], out: str, initial: float, update: Callable[..., float | None]) -> Fold:
     """A variable kept from bar to bar: ``update(value, *inputs)`` gives the next value."""
 
@@ -63,6 +81,14 @@ def setting(default: float, least: float | None = None, most: float | None = Non
     return min(value, most) if most is not None else value
 
 
+def option(default, given=None, options: tuple = ()):
+    """A script's input of text, truth, colour, symbol or timeframe: the given value, or the default; one of ``options`` if there are any."""
+    value = default if given is None else given
+    if options and value not in options:
+        raise ValueError(f"{value!r} is none of {options}")
+    return value
+
+
 def source(name: str) -> Column:
     """A price by name: a bar column, or hl2, hlc3, ohlc4."""
     parts = {"hl2": ("high", "low"), "hlc3": ("high", "low", "close"), "ohlc4": ("open", "high", "low", "close")}.get(name, (name,))

@@ -111,8 +111,13 @@ def output_plots(spark, folder: str) -> DataFrame:
 
 
 def output_json(spark, folder: str) -> DataFrame:
-    """A JSON document of plots for each symbol."""
-    return bars_to_json(output.plots(event_bars(spark, folder), {"close": F.col("close")}))
+    """JSON documents of plots, levels and alerts for each symbol and month, read back: what each of them holds."""
+    crosses = _crosses(spark, folder)
+    made = bars_to_json(output.plots(crosses, {"close": F.col("close")}), {"middle": 50.0}, output.alerts(crosses, F.col("close") > F.col("f20"), "above"))
+    kind = "version string, plots array<struct<title:string,data:array<struct<time:long,value:double>>>>, hlines array<struct<title:string,price:double>>, alerts array<struct<time:long,title:string>>"
+    read = made.withColumn("d", F.from_json("json", kind)).withColumn("data", F.col("d.plots")[0]["data"])
+    total = F.aggregate("data", F.lit(0.0), lambda s, p: s + p["value"])
+    return read.select("symbol", F.unix_millis("span").alias("span_ms"), F.col("d.version").alias("version"), F.col("d.hlines")[0]["price"].alias("level"), F.size("data").cast("long").alias("points"), F.col("data")[0]["time"].alias("first_ms"), _six(total).alias("total"), F.coalesce(F.size("d.alerts"), F.lit(0)).cast("long").alias("alerts"))
 
 
 def output_alerts(spark, folder: str) -> DataFrame:
@@ -201,6 +206,9 @@ ORACLE_SQL: dict[str, str] = {
     "output_plots": f"""{_CROSS} SELECT symbol, title, round(round(arg_max(value, time), 9), 6) + 0.0 AS value, count(*) AS bars FROM (
       SELECT symbol, time, 'fast' AS title, f5 AS value FROM x UNION ALL SELECT symbol, time, 'slow', f20 FROM x UNION ALL SELECT symbol, time, 'above', CASE WHEN f5 > f20 THEN 1.0 ELSE 0.0 END FROM x) GROUP BY ALL""",
     "output_alerts": f"{_CROSS} SELECT symbol, epoch_ms(time) AS time_ms, 'above' AS title FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS n FROM x WHERE close > f20) WHERE n <= 100",
+    "output_json": f"""{_CROSS}, a AS (SELECT symbol, date_trunc('month', time) AS span, count(*) AS alerts FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS n FROM x WHERE close > f20) WHERE n <= 100 GROUP BY ALL),
+      p AS (SELECT symbol, date_trunc('month', time) AS span, count(*) AS points, epoch_ms(min(time)) AS first_ms, sum(close) AS total FROM x GROUP BY ALL)
+      SELECT symbol, epoch_ms(p.span) AS span_ms, '1.0.0' AS version, 50.0::DOUBLE AS level, points, first_ms, round(round(total, 9), 6) + 0.0 AS total, coalesce(alerts, 0) AS alerts FROM p LEFT JOIN a USING (symbol, span)""",
     "stream_bars": f"WITH {BARS} {_SELECT} bars WHERE time + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)",
     "stream_average": f"WITH {BARS}{_AVERAGE} SELECT symbol, epoch_ms(time) AS time_ms, close, round(round(list_reduce(list_concat([list_avg(cl[1:12])], cl[13:]), lambda p, q: (2.0 / 13) * q + (1 - (2.0 / 13)) * p), 9), 6) + 0.0 AS value, CAST(len(cl) AS BIGINT) AS bars, CAST(ticks AS BIGINT) AS ticks FROM h",
 }

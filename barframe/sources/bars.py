@@ -103,8 +103,21 @@ def newest(bars: DataFrame, limit: int) -> DataFrame:
     return bars.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("time")))).filter(F.col("__n") <= limit).drop("__n")
 
 
-def bars_to_json(plots: DataFrame) -> DataFrame:
-    """One JSON document for each symbol from long plots (symbol, time, title, value)."""
+def bars_to_json(plots: DataFrame, hlines: dict[str, float] | None = None, alerts: DataFrame | None = None, span: str = "month") -> DataFrame:
+    """JSON documents from long plots (symbol, time, title, value): one for each symbol and span of time.
+
+    A span bounds a document, whatever the length of the history.  ``hlines`` are titled levels;
+    ``alerts`` has symbol, time and title.
+    """
     point = F.struct(F.unix_millis("time").alias("time"), "value")
-    series = plots.groupBy("symbol", "title").agg(F.sort_array(F.collect_list(point)).alias("data"))
-    return series.groupBy("symbol").agg(F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.sort_array(F.collect_list(F.struct("title", "data"))).alias("plots"))).alias("json"))
+    own = ["symbol", F.date_trunc(span, "time").alias("span")]
+    series = plots.groupBy(*own, "title").agg(F.sort_array(F.collect_list(point)).alias("data"))
+    documents = series.groupBy("symbol", "span").agg(F.sort_array(F.collect_list(F.struct("title", "data"))).alias("plots"))
+    parts = [F.lit("1.0.0").alias("version"), "plots"]
+    if hlines:
+        parts.append(F.array(*[F.struct(F.lit(title).alias("title"), F.lit(float(price)).alias("price")) for title, price in sorted(hlines.items())]).alias("hlines"))
+    if alerts is not None:
+        fired = alerts.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct(F.unix_millis("time").alias("time"), "title"))).alias("alerts"))
+        documents = documents.join(fired, ["symbol", "span"], "left")
+        parts.append("alerts")
+    return documents.select("symbol", "span", F.to_json(F.struct(*parts)).alias("json"))

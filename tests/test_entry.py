@@ -9,7 +9,7 @@ from barframe.queries import ORACLE_SQL, QUERIES
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind; the driver holds all of them against their SQL.
-CHOSEN = ["ta_sma", "ta_macd", "ta_supertrend", "ta_dmi", "ta_valuewhen", "ta_linreg", "bars_events", "bars_orders", "bars_csv", "na_operators", "array_functions", "color_functions", "strategy_signals", "strategy_trades", "strategy_report", "strategy_equity", "strategy_open", "ta_gaps", "script_loops", "script_branches", "script_variables", "stream_bars", "stream_average"]
+CHOSEN = ["ta_sma", "ta_macd", "ta_supertrend", "ta_dmi", "ta_valuewhen", "ta_linreg", "bars_events", "bars_orders", "bars_csv", "na_operators", "array_functions", "color_functions", "strategy_signals", "strategy_trades", "strategy_report", "strategy_equity", "strategy_open", "ta_gaps", "script_loops", "script_while", "output_json", "script_branches", "script_variables", "stream_bars", "stream_average"]
 
 
 def rows(frame):
