@@ -294,16 +294,20 @@ def host_of(url: Column) -> Column:
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """``host``, ``html`` and ``mark`` of pages, equal ones of a host once (only these are shuffled)."""
+    """``host``, ``html`` and ``mark`` of pages, equal ones of a host once.
+
+    Marks travel without their pages; pages are kept apart by their order in the input's partitions,
+    which is written with the marks, and of equal pages the first one stays.
+    """
     html = F.coalesce("html", F.lit(""))
     seen = F.regexp_replace(html, UNSEEN, "")
-    keyed = pages.select("host", html.alias("html"), F.xxhash64(seen).alias("mark"), F.length(seen).alias("long"))
-    copied = written(keyed.groupBy("host", "mark", "long").count().filter("count > 1").drop("count"), "copied-pages")
+    keyed = written(pages.select("host", html.alias("html"), F.xxhash64(seen).alias("mark"), F.length(seen).alias("long"), F.monotonically_increasing_id().alias("row")), "marked-pages")
+    by = ["host", "mark", "long"]
+    copied = keyed.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).filter("n > 1").select(*by, "first")
+    copied = written(copied, "copied-pages")
     if copied.count() <= BROADCAST_TOKENS:
         copied = F.broadcast(copied)
-    by = ["host", "mark", "long"]
-    once = keyed.join(copied, by, "left_anti")
-    return once.select("host", "html", "mark").union(keyed.join(copied, by, "left_semi").groupBy(by).agg(F.min("html").alias("html")).select("host", "html", "mark"))
+    return keyed.join(copied, by, "left").filter(F.col("first").isNull() | (F.col("first") == F.col("row"))).select("host", "html", "mark")
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -371,7 +371,7 @@ def _bits_apart(a: str, b: str) -> Column:
 def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of sets in different components that may still link."""
     label = component.select(F.col("node").alias("x"), "component")
-    seen = tested.join(label, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    seen = written(tested.join(label, "x", "left").withColumn("component", F.coalesce("component", "x")), "seen")
     # Close to a common hub: |x - y| is |dx| + |dy| - 2 |dx and dy| for the differences dx and dy to
     # it, so a pair that links shares so many elements of them that it shares one of the rarest.
     salt = F.pmod(F.xxhash64("x"), F.lit(SALTS))
@@ -383,12 +383,13 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketc
     near = seen.filter(F.col("delta").isNotNull()).withColumn("salt", salt).join(open_hubs, ["hub", "salt"]).withColumn("apart", width)
     near = near.withColumn("short", F.col("apart") - F.greatest(overlap, F.lit(1)) + 1).withColumn("long", F.least("apart", most + 1))
     facts = ["hub", "x", "component", "linked", "size", "apart", "short", "long"]
-    near = near.select(*facts, F.explode("delta").alias("element"))
-    counts = near.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    near = written(near.select(*facts, F.explode("delta").alias("element")), "differences")
+    counts = written(near.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     rarest = Window.partitionBy("hub", "x").orderBy("n", "element")
     everything = near.join(counts, ["hub", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     placed = everything.withColumn("place", F.row_number().over(rarest))
     prefix = placed.filter((F.col("n") > 1) & (F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.col("long")))).select(*facts, "element", "place")
+    prefix = written(prefix, "prefixes")
     y = prefix.select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in (*facts[1:], "place")])
     fits = lambda size, other: F.least(size, other) * den >= F.greatest(size, other) * num
     free, other_free = ~F.col("linked"), ~F.col("y_linked")
@@ -402,7 +403,7 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketc
     differing_most = F.get(lows, F.shiftright("key", 32).bitwiseAND(F.lit(_ONE - 1)).cast("int") + 1) * F.lit(2 * (den - num) / (den + num))
     words = F.when(differing_most <= SKETCH // 4 * 0.4, SKETCH // 256).when(differing_most <= SKETCH // 2 * 0.4, SKETCH // 128).otherwise(SKETCH // 64)
     members = stars.join(far.select("x", "hub", "component", "size", "very"), ["x", "hub"]).join(sketches.select(F.col("rep").alias("x"), "sketch"), "x")
-    u = members.select("key", "x", "component", "size", "very", _folded(F.col("sketch"), words).alias("bits"))
+    u = written(members.select("key", "x", "component", "size", "very", _folded(F.col("sketch"), words).alias("bits")), "far")
     v = u.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"), F.col("bits").alias("other_bits"))
     differ = _bits_apart("bits", "other_bits") * (den + num) <= (F.col("size") + F.col("width")) * (den - num)
     apart = u.join(v, "key").filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also")) & differ).select("x", "y")

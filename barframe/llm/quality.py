@@ -29,6 +29,8 @@ from barframe.llm.text import utf8_parts
 CHUNK = 256
 STEP = 192
 WIDTH = 4
+#: Bytes whose answers are in memory at once (a multiple of CHUNK - STEP).
+SEGMENT = 1 << 16
 FILTERS = 12
 #: Labelled documents that a model is trained on.
 SAMPLE_DOCUMENTS = 1500
@@ -70,14 +72,19 @@ def chunk_starts(n: int) -> np.ndarray:
 def features(tables: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The pooled answers of one text (its bytes)."""
     n = len(text)
-    answers = np.maximum(_answers(tables, offsets, np.concatenate([text, np.zeros(WIDTH, np.uint8)])), 0)[: max(1, n - WIDTH + 1)]
-    starts = chunk_starts(n)
-    # chunks overlap: maxima of blocks of CHUNK - STEP bytes are shared between neighbours
+    count = max(1, n - WIDTH + 1)
+    padded = np.concatenate([text, np.zeros(WIDTH, np.uint8)])
     unit = CHUNK - STEP
-    blocks = np.maximum.reduceat(answers, np.arange(0, len(answers), unit), axis=0)
-    per, count = CHUNK // unit, STEP // unit
-    peaks = [blocks[np.minimum(np.arange(len(starts)) * count + k, len(blocks) - 1)] for k in range(per)]
-    return np.concatenate([np.maximum.reduce(peaks).mean(axis=0), answers.mean(axis=0)])
+    # chunks overlap: maxima of blocks of CHUNK - STEP bytes are shared between neighbours
+    blocks, total = [], np.zeros(len(offsets))
+    for at in range(0, count, SEGMENT):
+        size = min(SEGMENT, count - at)
+        answers = np.maximum(_answers(tables, offsets, padded[at : at + size + WIDTH - 1]), 0)
+        blocks.append(np.maximum.reduceat(answers, np.arange(0, size, unit), axis=0))
+        total += answers.sum(axis=0)
+    peaks, starts = np.concatenate(blocks), np.arange(len(chunk_starts(n))) * (STEP // unit)
+    chunks = [peaks[np.minimum(starts + k, len(peaks) - 1)] for k in range(CHUNK // unit)]
+    return np.concatenate([np.maximum.reduce(chunks).mean(axis=0), total / count])
 
 
 def score_text(model: Model, text: np.ndarray) -> float:
