@@ -49,6 +49,8 @@ _CONTEXT = {
 }
 #: How sure a span is before its surroundings are read: patterns with a checksum are surer.
 _PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.95, "ssn": 0.5, "account": 0.6, "secret": 0.7}
+#: Kinds that neither a checksum nor the pattern's own words confirm: context decides, and without any they score half.
+_UNCONFIRMED = frozenset({"ssn"})
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -119,9 +121,11 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def score_of(kind: str, text: str, start: int, end: int) -> float:
-    """The prior of the kind, raised for each context word near the span."""
+    """The prior of the kind, raised for each context word near the span; halved where only context could confirm it and none does."""
     near = text[max(0, start - CONTEXT) : start].lower() + "\n" + text[end : end + CONTEXT].lower()
     hits = sum(word in near for word in _CONTEXT[kind])
+    if not hits and kind in _UNCONFIRMED:
+        return _PRIOR[kind] / 2
     return round(1 - (1 - _PRIOR[kind]) * 0.5 ** min(hits, 3), 4)
 
 

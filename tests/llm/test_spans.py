@@ -138,3 +138,8 @@ def test_pii_columns_and_masking(spark):
     assert [tuple(x)[:3] for x in found[1, "mail a@b.co now"]] == [("email", 5, 11)] and found[1, None] == [] == found[None, ""]
     assert sorted(map(str, (r.text for r in pii.mask_pii(table).collect()))) == ["", "None", "mail [EMAIL] now"]
     assert pii.find_pii(table.filter("doc_id > 9")).count() == 0
+
+
+def test_context_decides_where_nothing_else_confirms():
+    assert pii.score_of("ssn", "order 123-45-6789 shipped", 6, 17) == 0.25
+    assert pii.score_of("ssn", "social security 123-45-6789", 16, 27) > 0.7
