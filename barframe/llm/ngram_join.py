@@ -18,8 +18,8 @@ sketches (a bit for the parity of the elements of each hash value: no more bits
 then, unless those tell that the sets are far apart, by their texts.  Then
 components are formed, and only what can still join two components is looked at: sets that share
 a hub and also a rare element of their differences to it (x and y differ by the symmetric
-difference of their differences to the hub), or that share a signature, are both far from its hub, and aren't
-ruled out by their sketches.  A hub's sets are dealt over ``SALTS`` tasks.  All this is exact, up to equal 64-bit hashes of
+difference of their differences to the hub), or that share a signature and are both far from its hub; in
+both cases only what their sketches don't rule out.  A hub's sets are dealt over ``SALTS`` tasks.  All this is exact, up to equal 64-bit hashes of
 different shingles.
 
 Null and empty texts link with nothing, nor do rows with a null id, whose component is null.  Each
@@ -363,6 +363,11 @@ def _folded(sketch: Column, words: Column) -> Column:
     return F.when(words >= SKETCH // 64, sketch).when(words >= SKETCH // 128, half).otherwise(fold(half, SKETCH // 256))
 
 
+def _sketch_words(differing_most: Column) -> Column:
+    """Words of a sketch in which sets of so many differing elements look unlike sets that have nothing in common."""
+    return F.when(differing_most <= SKETCH // 4 * 0.4, SKETCH // 256).when(differing_most <= SKETCH // 2 * 0.4, SKETCH // 128).otherwise(SKETCH // 64)
+
+
 def _bits_apart(a: str, b: str) -> Column:
     """How many bits of two sketches of equal length differ."""
     return sum((F.coalesce(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))), F.lit(0)) for k in range(SKETCH // 64)), F.lit(0))
@@ -382,28 +387,30 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketc
     overlap = F.when(F.col("linked"), F.ceil((1 + width - F.ceil(slack)) / 2)).otherwise(F.greatest(F.ceil((width - F.floor(slack)) / 2), width - most))
     near = seen.filter(F.col("delta").isNotNull()).withColumn("salt", salt).join(open_hubs, ["hub", "salt"]).withColumn("apart", width)
     near = near.withColumn("short", F.col("apart") - F.greatest(overlap, F.lit(1)) + 1).withColumn("long", F.least("apart", most + 1))
-    facts = ["hub", "x", "component", "linked", "size", "apart", "short", "long"]
+    facts = ["hub", "x", "component", "linked", "size", "hub_size", "apart", "short", "long"]
     near = written(near.select(*facts, F.explode("delta").alias("element")), "differences")
     counts = written(near.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     rarest = Window.partitionBy("hub", "x").orderBy("n", "element")
     everything = near.join(counts, ["hub", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
     placed = everything.withColumn("place", F.row_number().over(rarest))
     prefix = placed.filter((F.col("n") > 1) & (F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.col("long")))).select(*facts, "element", "place")
-    prefix = written(prefix, "prefixes")
-    y = prefix.select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in (*facts[1:], "place")])
+    bound = F.lit(2 * (den - num) / (den + num) / (1 - NEAR))  # a set near a hub is at most so much larger
+    sketched = prefix.join(sketches.select(F.col("rep").alias("x"), "sketch"), "x").withColumn("bits", _folded(F.col("sketch"), _sketch_words(F.col("hub_size") * bound)))
+    prefix = written(sketched.select(*facts, "element", "place", "bits"), "prefixes")
+    y = prefix.select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in (*facts[1:], "place", "bits")])
     fits = lambda size, other: F.least(size, other) * den >= F.greatest(size, other) * num
     free, other_free = ~F.col("linked"), ~F.col("y_linked")
     reach = (free & other_free & (F.col("place") <= F.col("short")) & (F.col("y_place") <= F.col("y_short"))) | (free & F.col("y_linked") & (F.col("place") <= F.col("long"))) | (F.col("linked") & other_free & (F.col("y_place") <= F.col("y_long")))
     alike = F.abs(F.col("apart") - F.col("y_apart")) * (den + num) <= (F.col("size") + F.col("y_size")) * (den - num)
-    close = prefix.join(y, ["hub", "element"]).filter((F.col("x") < F.col("y_x")) & (F.col("component") != F.col("y_component")) & fits("size", "y_size") & alike & reach).select("x", F.col("y_x").alias("y"))
+    differ = _bits_apart("bits", "y_bits") * (den + num) <= (F.col("size") + F.col("y_size")) * (den - num)
+    close = prefix.join(y, ["hub", "element"]).filter((F.col("x") < F.col("y_x")) & (F.col("component") != F.col("y_component")) & fits("size", "y_size") & alike & reach & differ).select("x", F.col("y_x").alias("y"))
     # far from the hub of a signature: so is any partner
     away = F.coalesce(F.col("size") + F.col("hub_size") - 2 * F.col("common"), F.col("gap"))
     far = seen.filter(away > (NEAR * num / den - (den - num) / num) * F.col("size") - 1).withColumn("very", F.col("delta").isNull())
     lows = F.array(*[F.lit(int(e)) for e in band_edges(num, den)])
     differing_most = F.get(lows, F.shiftright("key", 32).bitwiseAND(F.lit(_ONE - 1)).cast("int") + 1) * F.lit(2 * (den - num) / (den + num))
-    words = F.when(differing_most <= SKETCH // 4 * 0.4, SKETCH // 256).when(differing_most <= SKETCH // 2 * 0.4, SKETCH // 128).otherwise(SKETCH // 64)
     members = stars.join(far.select("x", "hub", "component", "size", "very"), ["x", "hub"]).join(sketches.select(F.col("rep").alias("x"), "sketch"), "x")
-    u = written(members.select("key", "x", "component", "size", "very", _folded(F.col("sketch"), words).alias("bits")), "far")
+    u = written(members.select("key", "x", "component", "size", "very", _folded(F.col("sketch"), _sketch_words(differing_most)).alias("bits")), "far")
     v = u.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"), F.col("bits").alias("other_bits"))
     differ = _bits_apart("bits", "other_bits") * (den + num) <= (F.col("size") + F.col("width")) * (den - num)
     apart = u.join(v, "key").filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also")) & differ).select("x", "y")
@@ -447,3 +454,26 @@ def op3_ngram_join(spark, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     found = jaccard_components(documents, 3, 90, 100)
     return found.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+#: Counts what every two sets have in common; the least id of a component reaches all of it over greater ids.
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i : i + 2], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i FROM w WHERE len(l) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), links AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach AS (
+  SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.d WHERE links.b > reach.r
+), least AS (
+  SELECT d, min(r) AS component_id FROM reach GROUP BY d
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.d = w.doc_id
+"""
