@@ -56,6 +56,8 @@ PAGE, HELD = 1 << 20, 1 << 20
 REPEATED = 2
 #: Tasks that a hub's sets are dealt over.
 SALTS = 32
+#: Ids for each word of a filter of ids while there are few, and words at most (beyond, more of the other rows pass).
+FILTERED, FILTER = 4, 1 << 20
 #: A set is near a hub when at most this share of its size differs; else it is far.
 NEAR = 0.45
 #: Bits of a sketch.
@@ -308,11 +310,24 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
+def _among(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``doc`` is among ``ids`` (of one column), and a few others.
+
+    Three bits of a word for each id, broadcast: a join that follows moves no rows that it would drop.
+    """
+    words = min(FILTER, ids.count() // FILTERED + 1)
+    bits = [f"shiftleft(1L, cast(shiftright(xxhash64({{0}}, 1), {at}) & 63 as int))" for at in (0, 6, 12)]
+    word, mask = f"pmod(xxhash64({{0}}), {words}L) as __word", f"{' | '.join(bits)} as __mask"
+    held = ids.selectExpr(*(e.format(ids.columns[0]) for e in (word, mask))).groupBy("__word").agg(F.bit_or("__mask").alias("__held"))
+    asked = table.selectExpr("*", *(e.format("doc") for e in (word, mask)))
+    return asked.join(F.broadcast(held), "__word").filter("__held & __mask = __mask").select(*table.columns)
+
+
 def _beside(pairs: DataFrame, table: DataFrame, own: list[str], hub: list[str]) -> DataFrame:
-    """``pairs`` (x, hub) with columns of ``table`` (by ``doc``) for both; a hub's sets are dealt over SALTS tasks."""
+    """``pairs`` (x, hub), as written, with columns of ``table`` (by ``doc``) for both; a hub's sets are dealt over SALTS tasks."""
     salt = F.pmod(F.xxhash64("x"), F.lit(SALTS)).alias("salt")
-    left = pairs.select("x", "hub", salt).join(table.select(F.col("doc").alias("x"), *map(F.expr, own)), "x")
-    right = pairs.select("hub", salt).distinct().join(table.select(F.col("doc").alias("hub"), *map(F.expr, hub)), "hub")
+    left = pairs.select("x", "hub", salt).join(_among(table, pairs.select("x")).select(F.col("doc").alias("x"), *map(F.expr, own)), "x")
+    right = pairs.select("hub", salt).distinct().join(_among(table, pairs.select("hub")).select(F.col("doc").alias("hub"), *map(F.expr, hub)), "hub")
     return left.join(right, ["hub", "salt"])
 
 
@@ -434,13 +449,13 @@ def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id:
     dealt = texts.mapInArrow(_sign(n, num, den, bands, pages), _DEALT)
     rows = written(dealt.groupBy("to").applyInArrow(_shared, "key long, rep long"), "signatures")
     stars = written(_with_hub(written(_kept_signatures(rows, bands), "kept")), "stars")
-    pairs = written(_sketched(stars.select("x", "hub").distinct(), facts), "pairs")
+    pairs = written(_sketched(written(stars.select("x", "hub").distinct(), "starred"), facts), "pairs")
     near = F.col("gap") <= NEAR * F.col("size")
     tested = _verified(pairs.filter(near), own, n, num, den, "tested")
     links = tested.filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
     component = connected_components(links)
     seen = tested.withColumn("gap", F.lit(None).cast("long")).unionByName(pairs.filter(~near).withColumn("linked", F.lit(False)), allowMissingColumns=True)
-    still = written(_sketched(_open_pairs(stars, seen, component, facts, num, den), facts), "open")
+    still = written(_sketched(written(_open_pairs(stars, seen, component, facts, num, den), "unsettled"), facts), "open")
     alike = (F.col("gap") * (den + num) <= (F.col("size") + F.col("hub_size")) * (den - num)) & (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num)
     late = _verified(still.filter(alike), own, n, num, den, "late").filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
     if not late.isEmpty():

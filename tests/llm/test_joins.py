@@ -134,6 +134,42 @@ def test_join_of_nothing_and_of_null_ids(spark):
     assert sorted(((r.doc, r.component) for r in ngram_join.jaccard_components(some, 3, 90, 100).collect()), key=str) == [(2, 2), (3, 2), (3, 2), (None, None), (None, None)]
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of an executed DataFrame wrote."""
+
+    def below(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return below(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return below(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        children = node.children()
+        return own + sum(below(children.apply(k)) for k in range(children.size()))
+
+    df.collect()
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("most", [1 << 20, 8])
+def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "FILTER", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(k, f"t{k}") for k in range(5000)] + [(8, "again"), (-3, "below")], "doc long, text string")
+        pairs = spark.createDataFrame([(8, 7), (900, 7), (4001, -3), (4002, 12)], "x long, hub long")
+        both = ngram_join._beside(pairs, texts, ["text as tx"], ["text as th"]).select("x", "hub", "tx", "th")
+        assert sorted(map(tuple, both.collect())) == [(8, 7, "again", "t7"), (8, 7, "t8", "t7"), (900, 7, "t900", "t7"), (4001, -3, "t4001", "below"), (4002, 12, "t4002", "t12")]
+        assert shuffled_rows(both) < 500
+        # a full filter lets other rows pass and loses none
+        ids = spark.range(0, 5000, 2).select(F.col("id").alias("x"))
+        kept = {r.doc for r in ngram_join._among(texts, ids).collect()}
+        assert kept >= set(range(0, 5000, 2)) and (most == 8 or len(kept) < 2700)
+        assert ngram_join._among(texts, ids.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_plans_cover_what_may_differ():
     for num, den, shared in ((90, 100, 0), (80, 100, 0), (1, 2, 0), (80, 100, 0.95), (90, 100, 0.99)):
         edges = ngram_join.band_edges(num, den)
