@@ -62,7 +62,7 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 _ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 _SCOPES = frozenset({"ul", "ol", "dl", "table", "article", "section", "div", "nav", "header", "footer", "aside", "main", "body", "html", "form", "blockquote"})
 _HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|comment\w*|discussion|disqus|replies|reply|sidebar|side-bar|widget\w*|menu\w*|nav\w*|breadcrumb\w*|footer|header|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|copyright|legal|disclaimer|complementary|contentinfo|navigation|search|alert\w*|teaser\w*|skip\w*)(?:$|[\s_-])")
-_BLANK, _WORD = re.compile(r"\s+"), re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What pages may differ in and still be equal: comments, scripts and styles.
 UNSEEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 
@@ -96,6 +96,23 @@ def _label(name: str, hints: str) -> str:
     return f"<{name}.{hints.split()[0]}" if hints and hints != "!hidden" else f"<{name}"
 
 
+class _Openings(dict):
+    """The label's hash of a name with its hints, and whether it is boilerplate, remembered up to a bounded number."""
+
+    def __missing__(self, key: tuple[str, str]) -> tuple[int, bool]:
+        if len(self) > 1 << 14:
+            self.clear()
+        name, hints = key
+        bad = name in BOILERPLATE or "!hidden" in hints or bool(hints and name not in ("body", "html", "article", "main") and _HINT.search(hints))
+        found = _KNOWN["<" + name if name in VOID else _label(name, hints)], bad
+        if len(hints) <= 256:
+            self[key] = found
+        return found
+
+
+_OPENINGS = _Openings()
+
+
 class Slot:
     """Text between two tags: the hash of its path of elements, its block, the tags before it, and whether it is content."""
 
@@ -132,13 +149,12 @@ def walk(html: str) -> tuple[list[Slot], list[tuple[int, int]]]:
             if family or name in BLOCKS and stack and stack[-1][0] == "p":
                 _end(stack, family or frozenset({"p"}))
             above = stack[-1] if stack else root
-            label = known["<" + name if name in VOID else _label(name, hints)]
+            label, bad = _OPENINGS[name, hints]
             path = _below(above[1], label)
             tags.append((path, label))
             if name in VOID:
                 continue
-            bad = above[2] or name in BOILERPLATE or "!hidden" in hints or bool(hints and name not in ("body", "html", "article", "main") and _HINT.search(hints))
-            stack.append((name, path, bad, above[3] or name in CONTENT, label))
+            stack.append((name, path, above[2] or bad, above[3] or name in CONTENT, label))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -327,10 +343,11 @@ def templates(pages: DataFrame) -> DataFrame:
     return often.drop("all").groupBy("host").applyInArrow(_classes, "host string, template array<array<long>>").filter(F.size("template") > 0)
 
 
-def placed(tokens_of: list[int], template: list[list[int]]) -> set[int]:
+def placed(tokens_of: np.ndarray, template: list[list[int]]) -> set[int]:
     """The places of a page's template tokens: classes that come in order and nest."""
     role = {token: (c, k) for c, own in enumerate(template) for k, token in enumerate(own)}
-    spots = [(at, *role[token]) for at, token in enumerate(tokens_of) if token in role]
+    some = np.flatnonzero(np.isin(tokens_of, np.fromiter(role, np.int64, len(role))))
+    spots = [(at, *role[token]) for at, token in zip(some.tolist(), tokens_of[some].tolist())]
     while spots:
         open_classes: list[list[int]] = []
         bad = None
@@ -353,26 +370,36 @@ def placed(tokens_of: list[int], template: list[list[int]]) -> set[int]:
     return {s[0] for s in spots}
 
 
+def _with_gone(slots: list[Slot], tags: int, begins: list[int], places: int, gone: set[int]) -> set[int]:
+    """The slots that hold words of these places; a slot's words end where as many tags stand before the next one's."""
+    at = np.array([s.at for s in slots] + [tags], np.int64)
+    starts = np.array([*begins, places], np.int64)
+    edges = np.sort(np.fromiter(gone, np.int64, len(gone)))
+    ends = starts[1:] - at[1:] + at[:-1]
+    return set(np.flatnonzero(np.searchsorted(edges, ends) > np.searchsorted(edges, starts[:-1])).tolist())
+
+
 def main_text(html: str | None, template: list[list[int]] = ()) -> str:
     """The content slots of a page, block by block."""
     if not html:
         return ""
     slots, tags = walk(html)
     inside = any(s.inside and s.content for s in slots)
-    gone, begins = set(), [0] * len(slots)
-    if template:
+    gone, begins, cut = set(), [0] * len(slots), set()
+    if template and slots:
         found, _, begins = page_tokens(slots, tags)
-        gone = placed(found.tolist(), template)
+        gone = placed(found, template)
+        cut = _with_gone(slots, len(tags), begins, len(found), gone)
     blocks: dict[int, list[str]] = {}
-    for slot, begin in zip(slots, begins):
+    for k, (slot, begin) in enumerate(zip(slots, begins)):
         if not slot.content or inside and not slot.inside:
             continue
         text = decoded("".join(slot.parts))
-        if gone:
+        if k in cut:
             place = iter(range(begin, begin + len(text)))
             text = _WORD.sub(lambda m: "" if next(place) in gone else m.group(), text)
         blocks.setdefault(slot.block, []).append(text)
-    lines = (_BLANK.sub(" ", "".join(parts)).strip() for parts in blocks.values())
+    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 

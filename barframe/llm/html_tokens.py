@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
@@ -28,20 +29,20 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
         if m.start() > at:
             yield "text", html[at : m.start()], ""
         at = m.end()
-        name = m.group(2)
+        closing, name, attributes = m.groups()
         if name is None:
             if m.group().startswith("<![CDATA["):
                 yield "text", m.group()[9:].removesuffix("]]>"), ""
             continue
         name = name.lower()
-        if m.group(1):
+        if closing:
             yield "close", name, ""
         elif name in RAW:
             end = _RAW_END[name].search(html, at)
             at = end.end() if end else n
             yield "raw", name, ""
         else:
-            yield "open", name, _hints(m.group(3))
+            yield "open", name, _known_hints(attributes) if len(attributes) <= 256 else _hints(attributes)
 
 
 def _hints(attributes: str) -> str:
@@ -57,6 +58,9 @@ def _hints(attributes: str) -> str:
     return " ".join(found)
 
 
+_known_hints = lru_cache(1 << 12)(_hints)
+
+
 def decoded(text: str) -> str:
     """Character references decoded."""
     return unescape(text) if "&" in text else text

@@ -58,6 +58,26 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
  two.<br><p>Th&eacute; <i>third</i>&nbsp;x</p><form>send</form><div class="comments"><p>first!</p></div><!-- no --><p hidden>gone</p></article><aside>side</aside><footer>&copy; end</footer></body></html>"""
 
 
+def test_only_slots_with_template_words_are_searched_for_them(monkeypatch):
+    page = "<div>By <b>Ann</b> on</div>" + "".join(f"<p>text {k}\u00a0 and\x1fmore\u2003</p>" for k in range(50)) + "<p>the\nend</p> <i></i>"
+    slots, tags = html_extract.walk(page)
+    found, _, begins = html_extract.page_tokens(slots, tags)
+    names = [int(found[begins[k]]) for k in (0, 2)]  # the words By and on
+    searched = []
+
+    class Counted:
+        @staticmethod
+        def sub(replace, text):
+            searched.append(text)
+            return html_extract.re.sub(r"[^\x20\x09-\x0D]+", replace, text)
+
+    monkeypatch.setattr(html_extract, "_WORD", Counted)
+    got = html_extract.main_text(page, [names[:2]])
+    assert got == "\n".join(["Ann", *(f"text {k} and more" for k in range(50)), "the end"])
+    assert searched == ["By ", " on"]
+    assert all((" ".join(f"a{chr(c)}b".split()) == "a b") == bool(html_extract.re.match(r"\s", chr(c))) or chr(c) == " " for c in range(0x110000))
+
+
 def test_main_text_of_pages():
     assert html_extract.main_text(PAGE) == "Title & more\nOne two.\nThé third x"
     assert html_extract.main_text(None) == "" == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>")
