@@ -19,7 +19,8 @@ then, unless those tell that the sets are far apart, by their texts.  Then
 components are formed, and only what can still join two components is looked at: sets that share
 a hub and also a rare element of their differences to it (x and y differ by the symmetric
 difference of their differences to the hub), or that share a signature and are both far from its hub; in
-both cases only what their sketches don't rule out.  A hub's sets are dealt over ``SALTS`` tasks.  All this is exact, up to equal 64-bit hashes of
+both cases only what their sketches don't rule out, compared as arrays in blocks that are dealt over
+tasks.  A hub's sets are dealt over ``SALTS`` tasks.  All this is exact, up to equal 64-bit hashes of
 different shingles.
 
 Null and empty texts link with nothing, nor do rows with a null id, whose component is null.  Each
@@ -60,8 +61,10 @@ SALTS = 32
 FILTERED, FILTER = 4, 1 << 20
 #: A set is near a hub when at most this share of its size differs; else it is far.
 NEAR = 0.45
-#: Bits of a sketch.
-SKETCH = 2048
+#: Bits of a sketch, and words of one that are compared at once.
+SKETCH, LANE = 2048, 8
+#: Rows of a block of a group whose rows are compared with each other.
+BLOCK = 512
 
 
 # --- sets -----------------------------------------------------------------------------------
@@ -91,6 +94,8 @@ def _identity(own: np.ndarray) -> tuple[int, int]:
 
 
 _PLACE = np.uint64(0xA0761D6478BD642F)
+#: Sums the eight bytes of a word.
+_EVEN, _SUM = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
 
 
 def _sketch(own: np.ndarray) -> np.ndarray:
@@ -383,9 +388,85 @@ def _sketch_words(differing_most: Column) -> Column:
     return F.when(differing_most <= SKETCH // 4 * 0.4, SKETCH // 256).when(differing_most <= SKETCH // 2 * 0.4, SKETCH // 128).otherwise(SKETCH // 64)
 
 
-def _bits_apart(a: str, b: str) -> Column:
-    """How many bits of two sketches of equal length differ."""
-    return sum((F.coalesce(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))), F.lit(0)) for k in range(SKETCH // 64)), F.lit(0))
+def _unlike(own: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of sketches differ in more bits than ``most``, LANE words at a time."""
+    far, rest, bits = np.ones(len(i), bool), np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k in range(own.shape[1]):
+        counts = np.bitwise_count(own[i[rest], k] ^ own[j[rest], k]).view(np.uint64)[:, 0]
+        counts = (counts & _EVEN) + (counts >> np.uint64(8) & _EVEN)
+        bits[rest] += (counts * _SUM >> np.uint64(48)).astype(np.int64)
+        rest = rest[bits[rest] <= most[rest]]
+    far[rest] = False
+    return far
+
+
+def _units(table: pa.Table, by: list[str]) -> np.ndarray:
+    """Where the rows of each unit begin, in a table sorted by ``by``."""
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for name in by:
+        own = table[name].to_numpy()
+        new[1:] |= own[1:] != own[:-1]
+    return np.flatnonzero(new)
+
+
+def _meet(table: pa.Table, begins: np.ndarray, num: int, den: int, reach) -> Iterator[pa.RecordBatch]:
+    """The pairs of each unit that may link: rows that stand 1, 2, 3 ... apart, in all units at once."""
+    column = {name: table[name].to_numpy() for name in table.column_names if name != "bits"}
+    column["unit"] = np.repeat(np.arange(len(begins)), np.diff(begins, append=table.num_rows))
+    sketches = table["bits"].combine_chunks()
+    width = pc.list_value_length(sketches).to_numpy(zero_copy_only=False)
+    for words in np.unique(width):
+        some = np.flatnonzero(width == words)
+        c = {name: values[some] for name, values in column.items()}
+        own = sketches.take(pa.array(some)).flatten().to_numpy().view(np.uint64).reshape(len(some), -1, LANE)
+        at, step = np.arange(len(some) - 1), 1
+        while len(at := at[: np.searchsorted(at, len(some) - step)]):
+            at = at[c["unit"][at] == c["unit"][at + step]]
+            i, j = at, at + step
+            fits = (c["component"][i] != c["component"][j]) & (c["free"][i] | c["free"][j]) & ((c["first"][i] == c["second"][i]) | (c["block"][i] != c["block"][j]))
+            i, j = i[fits], j[fits]
+            both = c["size"][i] + c["size"][j]
+            fits = (np.minimum(c["size"][i], c["size"][j]) * den >= np.maximum(c["size"][i], c["size"][j]) * num) & reach(c, i, j)
+            i, j, both = i[fits], j[fits], both[fits]
+            alike = ~_unlike(own, i, j, both * (den - num) // (den + num))
+            x, y = c["x"][i[alike]], c["x"][j[alike]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "hub"])
+            step += 1
+
+
+def _meetings(by: list[str], num: int, den: int, reach):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest else table
+            begins = _units(table, by)
+            if len(begins):
+                yield from _meet(table.slice(0, begins[-1]), begins[:-1], num, den, reach)
+                rest = table.slice(begins[-1])
+        if rest:
+            yield from _meet(rest, np.zeros(1, np.int64), num, den, reach)
+
+    return run
+
+
+def _compared(rows: DataFrame, by: list[str], words: Column, sketches: DataFrame, num: int, den: int, reach) -> DataFrame:
+    """Pairs (x, hub) of the rows of a group (equal ``by``) that may link: one of them ``free``, components that differ,
+    sizes and sketches (folded to ``words``) that allow it, and ``reach`` (of columns and two arrays of places).
+
+    A group of many rows is dealt over blocks of about BLOCK; every two blocks meet in a unit of their own.
+    """
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c"), F.max("component").alias("d"), F.bool_or("free").alias("some"))
+    asked = rows.join(groups.filter("n > 1 and c < d and some").select(*by, "n"), by)
+    last = F.floor((F.col("n") - 1) / BLOCK)
+    block = F.pmod(F.xxhash64("x"), last + 1)
+    asked = asked.join(sketches.select(F.col("rep").alias("x"), "sketch"), "x").withColumn("bits", _folded(F.col("sketch"), words)).withColumn("last", last).withColumn("block", block)
+    met = asked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+    unit = [*by, "first", "second"]
+    dealt = met.drop("n", "sketch", "last", "other").repartition(*unit).sortWithinPartitions(*unit)
+    return dealt.mapInArrow(_meetings(unit, num, den, reach), "x long, hub long")
 
 
 def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -407,29 +488,26 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketc
     counts = written(near.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     rarest = Window.partitionBy("hub", "x").orderBy("n", "element")
     everything = near.join(counts, ["hub", "element"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    placed = everything.withColumn("place", F.row_number().over(rarest))
-    prefix = placed.filter((F.col("n") > 1) & (F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.col("long")))).select(*facts, "element", "place")
+    placed = everything.withColumn("place", F.row_number().over(rarest).cast("long"))
+    prefix = placed.filter((F.col("n") > 1) & (F.col("place") <= F.when(F.col("linked"), F.col("short")).otherwise(F.col("long")))).withColumn("free", ~F.col("linked"))
+    prefix = written(prefix.select(*[c for c in facts if c != "linked"], "free", "element", "place"), "prefixes")
     bound = F.lit(2 * (den - num) / (den + num) / (1 - NEAR))  # a set near a hub is at most so much larger
-    sketched = prefix.join(sketches.select(F.col("rep").alias("x"), "sketch"), "x").withColumn("bits", _folded(F.col("sketch"), _sketch_words(F.col("hub_size") * bound)))
-    prefix = written(sketched.select(*facts, "element", "place", "bits"), "prefixes")
-    y = prefix.select("hub", "element", *[F.col(c).alias(f"y_{c}") for c in (*facts[1:], "place", "bits")])
-    fits = lambda size, other: F.least(size, other) * den >= F.greatest(size, other) * num
-    free, other_free = ~F.col("linked"), ~F.col("y_linked")
-    reach = (free & other_free & (F.col("place") <= F.col("short")) & (F.col("y_place") <= F.col("y_short"))) | (free & F.col("y_linked") & (F.col("place") <= F.col("long"))) | (F.col("linked") & other_free & (F.col("y_place") <= F.col("y_long")))
-    alike = F.abs(F.col("apart") - F.col("y_apart")) * (den + num) <= (F.col("size") + F.col("y_size")) * (den - num)
-    differ = _bits_apart("bits", "y_bits") * (den + num) <= (F.col("size") + F.col("y_size")) * (den - num)
-    close = prefix.join(y, ["hub", "element"]).filter((F.col("x") < F.col("y_x")) & (F.col("component") != F.col("y_component")) & fits("size", "y_size") & alike & reach & differ).select("x", F.col("y_x").alias("y"))
+
+    def reach(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        free, other = c["free"][i], c["free"][j]
+        short, long = c["place"] <= c["short"], c["place"] <= c["long"]
+        alike = np.abs(c["apart"][i] - c["apart"][j]) * (den + num) <= (c["size"][i] + c["size"][j]) * (den - num)
+        return alike & (free & other & short[i] & short[j] | free & ~other & long[i] | ~free & other & long[j])
+
+    close = _compared(prefix, ["hub", "element"], _sketch_words(F.col("hub_size") * bound), sketches, num, den, reach)
     # far from the hub of a signature: so is any partner
     away = F.coalesce(F.col("size") + F.col("hub_size") - 2 * F.col("common"), F.col("gap"))
-    far = seen.filter(away > (NEAR * num / den - (den - num) / num) * F.col("size") - 1).withColumn("very", F.col("delta").isNull())
+    far = seen.filter(away > (NEAR * num / den - (den - num) / num) * F.col("size") - 1).withColumn("free", F.col("delta").isNull())
     lows = F.array(*[F.lit(int(e)) for e in band_edges(num, den)])
     differing_most = F.get(lows, F.shiftright("key", 32).bitwiseAND(F.lit(_ONE - 1)).cast("int") + 1) * F.lit(2 * (den - num) / (den + num))
-    members = stars.join(far.select("x", "hub", "component", "size", "very"), ["x", "hub"]).join(sketches.select(F.col("rep").alias("x"), "sketch"), "x")
-    u = written(members.select("key", "x", "component", "size", "very", _folded(F.col("sketch"), _sketch_words(differing_most)).alias("bits")), "far")
-    v = u.select("key", F.col("x").alias("y"), F.col("component").alias("other"), F.col("size").alias("width"), F.col("very").alias("also"), F.col("bits").alias("other_bits"))
-    differ = _bits_apart("bits", "other_bits") * (den + num) <= (F.col("size") + F.col("width")) * (den - num)
-    apart = u.join(v, "key").filter(fits("size", "width") & (F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("very") | F.col("also")) & differ).select("x", "y")
-    return close.union(apart).distinct().select("x", F.col("y").alias("hub"))
+    members = written(stars.join(far.select("x", "hub", "component", "size", "free"), ["x", "hub"]).select("key", "x", "component", "size", "free"), "far")
+    apart = _compared(members, ["key"], _sketch_words(differing_most), sketches, num, den, lambda c, i, j: np.ones(len(i), bool))
+    return close.union(apart).distinct()
 
 
 def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", shared: float | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line dedup, Jaccard join, decontamination, search, archives and packing against plain versions."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -170,6 +171,57 @@ def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch, most):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def sketch_rows(rng, alike, n):
+    """Random sketches, of which the pairs ``alike`` differ in ten bits."""
+    bits = rng.integers(0, 2**64, (n, ngram_join.SKETCH // 64), dtype=np.uint64)
+    for a, b in alike:
+        bits[b] = bits[a]
+        bits[b, :10] ^= np.uint64(1) << rng.integers(0, 64, 10, dtype=np.uint64)
+    return bits.view(np.int64)
+
+
+@pytest.mark.parametrize("block", [3, 8, 512])
+def test_rows_of_a_group_meet_over_all_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    bits = sketch_rows(rng, [(a, a + 1) for a in range(0, 60, 3)], 70)
+    rows = [(x % 4 if x < 40 else 4 + x % 2, x, int(rng.integers(0, 5)), int(rng.integers(90, 111)), bool(rng.integers(0, 2)), 8 << x % 4 % 3) for x in range(70)]
+    rows += [(g + 10, x, c, size, free, 8) for _, x, c, size, free, _ in rows for g in (0, x % 2)]
+    rows = [(g, x, c, size, free, 8 << g % 3) for g, x, c, size, free, _ in rows]
+    table = spark.createDataFrame(rows, "key long, x long, component long, size long, free boolean, words int")
+    facts = spark.createDataFrame([(x, bits[x].tolist()) for x in range(70)], "rep long, sketch array<long>")
+    got = ngram_join._compared(table, ["key"], F.col("words"), facts, 80, 100, lambda c, i, j: np.abs(c["size"][i] - c["size"][j]) < 9)
+
+    def folded(x, words):
+        own = bits[x]
+        while len(own) > words:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        return own
+
+    plain = set()
+    for g, x, c, size, free, words in rows:
+        for h, y, d, width, other, _ in rows:
+            apart = int(np.bitwise_count((folded(x, words) ^ folded(y, words)).view(np.uint64)).sum())
+            if g == h and x < y and c != d and (free or other) and abs(size - width) < 9 and 100 * min(size, width) >= 80 * max(size, width) and 180 * apart <= 20 * (size + width):
+                plain.add((x, y))
+    assert plain and {(r.x, r.hub) for r in got.collect()} == plain
+
+
+def test_many_sets_of_one_signature_are_compared_in_time(spark):
+    n, alike = 6000, [(a, a + 1) for a in range(1, 5990, 500)]
+    bits = sketch_rows(np.random.default_rng(1), alike, n)
+    key = int(np.searchsorted(ngram_join.band_edges(80, 100), 1000, side="right") - 1) << 32
+    x = [(k,) for k in range(1, n)]
+    stars = spark.createDataFrame([(key, 0, *k) for k in x], "key long, hub long, x long")
+    seen = spark.createDataFrame([(*k, 0, 1000, 1000, False, 900) for k in x], "x long, hub long, size long, hub_size long, linked boolean, gap long").withColumn("common", F.lit(None).cast("long")).withColumn("delta", F.lit(None).cast("array<long>"))
+    facts = spark.createDataFrame([(k, bits[k].tolist()) for k in range(n)], "rep long, sketch array<long>")
+    component = spark.createDataFrame([], "node long, component long")
+    began = time.monotonic()
+    got = ngram_join._open_pairs(stars, seen, component, facts, 80, 100).collect()
+    assert {(r.x, r.hub) for r in got} == set(alike)
+    assert time.monotonic() - began < 40
+
+
 def test_plans_cover_what_may_differ():
     for num, den, shared in ((90, 100, 0), (80, 100, 0), (1, 2, 0), (80, 100, 0.95), (90, 100, 0.99)):
         edges = ngram_join.band_edges(num, den)
