@@ -59,9 +59,11 @@ REPEATED = 2
 SALTS = 32
 #: Ids for each word of a filter of ids while there are few, and words at most (beyond, more of the other rows pass).
 FILTERED, FILTER = 4, 1 << 20
+#: Open pairs that are verified at once; more of them go in rounds.
+ROUND = 1 << 14
 #: A set is near a hub when at most this share of its size differs; else it is far.
 NEAR = 0.45
-#: Bits of a sketch, and words of one that are compared at once.
+#: Bits of a sketch (more for sets of more elements, whose sketches else look alike), and words of one that are compared at once.
 SKETCH, LANE = 2048, 8
 #: Rows of a block of a group whose rows are compared with each other.
 BLOCK = 512
@@ -99,9 +101,10 @@ _EVEN, _SUM = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
 
 
 def _sketch(own: np.ndarray) -> np.ndarray:
-    """The parity of the elements of each hash value, as SKETCH bits."""
-    at = (mix(own ^ _PLACE) % np.uint64(SKETCH)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+    """The parity of the elements of each hash value, as SKETCH bits or the power of two that reaches the set's size."""
+    bits = max(SKETCH, 1 << (len(own) - 1).bit_length())
+    at = (mix(own ^ _PLACE) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -120,9 +123,7 @@ def _describe(n: int):
                 h2.append(b)
                 sketches.append(_sketch(own))
                 some.append(own[own % np.uint64(SAMPLED) == 0].view(np.int64))
-            bits = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
-            even = pa.array((np.arange(len(sketches) + 1) * (SKETCH // 64)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(even, bits), _lists(some)], names=["doc", "size", "h1", "h2", "sketch", "some"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(sketches), _lists(some)], names=["doc", "size", "h1", "h2", "sketch", "some"])
 
     return run
 
@@ -342,10 +343,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, na
     return written(both.mapInArrow(_verify(n, num, den), "x long, hub long, size long, hub_size long, common long, linked boolean, delta array<long>"), name)
 
 
+def _folded(sketch: Column, words: Column) -> Column:
+    """A sketch of as many words: parities of several places are the parity of all."""
+    parity = lambda i: F.aggregate(F.sequence(i, F.size(sketch) - 1, words), F.lit(0).cast("long"), lambda s, at: s.bitwiseXOR(F.get(sketch, at)))
+    return F.when(F.size(sketch) <= words, sketch).otherwise(F.transform(F.sequence(F.lit(0), words - 1), parity))
+
+
 def _sketched(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """``pairs`` (x, hub) with both sizes and ``gap``: at least so many elements differ."""
     two = _beside(pairs, facts.withColumnRenamed("rep", "doc"), ["size", "sketch"], ["size as hub_size", "sketch as hub_sketch"])
-    bits = F.zip_with("sketch", "hub_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    words = F.least(F.size("sketch"), F.size("hub_sketch"))
+    bits = F.zip_with(_folded(F.col("sketch"), words), _folded(F.col("hub_sketch"), words), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     return two.select("x", "hub", "size", "hub_size", F.aggregate(bits, F.lit(0), lambda s, v: s + v).cast("long").alias("gap"))
 
 
@@ -376,16 +384,15 @@ def _with_hub(signatures: DataFrame) -> DataFrame:
     return signatures.join(hubs, "key").filter("rep <> hub").select("key", "hub", F.col("rep").alias("x"))
 
 
-def _folded(sketch: Column, words: Column) -> Column:
-    """A sketch of as many words: parities of several places are the parity of all."""
-    fold = lambda a, n: F.zip_with(F.slice(a, 1, n), F.slice(a, n + 1, n), lambda x, y: x.bitwiseXOR(y))
-    half = fold(sketch, SKETCH // 128)
-    return F.when(words >= SKETCH // 64, sketch).when(words >= SKETCH // 128, half).otherwise(fold(half, SKETCH // 256))
+def _power(least: Column) -> Column:
+    """The least power of two that is no less."""
+    return F.call_function("shiftleft", F.lit(1), F.when(least > 1, F.length(F.bin(least.cast("long") - 1))).otherwise(0))
 
 
-def _sketch_words(differing_most: Column) -> Column:
-    """Words of a sketch in which sets of so many differing elements look unlike sets that have nothing in common."""
-    return F.when(differing_most <= SKETCH // 4 * 0.4, SKETCH // 256).when(differing_most <= SKETCH // 2 * 0.4, SKETCH // 128).otherwise(SKETCH // 64)
+def _sketch_words(differing_most: Column, smallest: Column) -> Column:
+    """Words of a sketch in which sets of so many differing elements look unlike sets that have nothing in common, if the sketch of the smallest has them."""
+    held = F.greatest(F.lit(SKETCH // 64), F.call_function("shiftright", _power(smallest), F.lit(6)))
+    return F.least(F.greatest(F.lit(LANE), _power(F.ceil(differing_most / (64 * 0.4)))), held)
 
 
 def _unlike(own: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -452,20 +459,20 @@ def _meetings(by: list[str], num: int, den: int, reach):
     return run
 
 
-def _compared(rows: DataFrame, by: list[str], words: Column, sketches: DataFrame, num: int, den: int, reach) -> DataFrame:
+def _compared(rows: DataFrame, by: list[str], differing_most: Column, sketches: DataFrame, num: int, den: int, reach) -> DataFrame:
     """Pairs (x, hub) of the rows of a group (equal ``by``) that may link: one of them ``free``, components that differ,
-    sizes and sketches (folded to ``words``) that allow it, and ``reach`` (of columns and two arrays of places).
+    sizes and sketches (folded to what ``differing_most`` elements need) that allow it, and ``reach`` (of columns and two arrays of places).
 
     A group of many rows is dealt over blocks of about BLOCK; every two blocks meet in a unit of their own.
     """
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c"), F.max("component").alias("d"), F.bool_or("free").alias("some"))
-    asked = rows.join(groups.filter("n > 1 and c < d and some").select(*by, "n"), by)
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c"), F.max("component").alias("d"), F.bool_or("free").alias("some"), F.min("size").alias("smallest"))
+    asked = rows.join(groups.filter("n > 1 and c < d and some").select(*by, "n", "smallest"), by)
     last = F.floor((F.col("n") - 1) / BLOCK)
     block = F.pmod(F.xxhash64("x"), last + 1)
-    asked = asked.join(sketches.select(F.col("rep").alias("x"), "sketch"), "x").withColumn("bits", _folded(F.col("sketch"), words)).withColumn("last", last).withColumn("block", block)
+    asked = asked.join(sketches.select(F.col("rep").alias("x"), "sketch"), "x").withColumn("words", _sketch_words(differing_most, F.col("smallest"))).withColumn("bits", _folded(F.col("sketch"), F.col("words"))).withColumn("last", last).withColumn("block", block)
     met = asked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     unit = [*by, "first", "second"]
-    dealt = met.drop("n", "sketch", "last", "other").repartition(*unit).sortWithinPartitions(*unit)
+    dealt = met.drop("n", "smallest", "words", "sketch", "last", "other").repartition(*unit).sortWithinPartitions(*unit)
     return dealt.mapInArrow(_meetings(unit, num, den, reach), "x long, hub long")
 
 
@@ -499,17 +506,46 @@ def _open_pairs(stars: DataFrame, tested: DataFrame, component: DataFrame, sketc
         alike = np.abs(c["apart"][i] - c["apart"][j]) * (den + num) <= (c["size"][i] + c["size"][j]) * (den - num)
         return alike & (free & other & short[i] & short[j] | free & ~other & long[i] | ~free & other & long[j])
 
-    close = _compared(prefix, ["hub", "element"], _sketch_words(F.col("hub_size") * bound), sketches, num, den, reach)
+    close = _compared(prefix, ["hub", "element"], F.col("hub_size") * bound, sketches, num, den, reach)
     # far from the hub of a signature: so is any partner
     away = F.coalesce(F.col("size") + F.col("hub_size") - 2 * F.col("common"), F.col("gap"))
     far = seen.filter(away > (NEAR * num / den - (den - num) / num) * F.col("size") - 1).withColumn("free", F.col("delta").isNull())
     lows = F.array(*[F.lit(int(e)) for e in band_edges(num, den)])
     differing_most = F.get(lows, F.shiftright("key", 32).bitwiseAND(F.lit(_ONE - 1)).cast("int") + 1) * F.lit(2 * (den - num) / (den + num))
     members = written(stars.join(far.select("x", "hub", "component", "size", "free"), ["x", "hub"]).select("key", "x", "component", "size", "free"), "far")
-    apart = _compared(members, ["key"], _sketch_words(differing_most), sketches, num, den, lambda c, i, j: np.ones(len(i), bool))
+    apart = _compared(members, ["key"], differing_most, sketches, num, den, lambda c, i, j: np.ones(len(i), bool))
     return close.union(apart).distinct()
 
 
+def _foremost(pairs: DataFrame, component: DataFrame, share: int) -> DataFrame:
+    """For each component, the pairs of the least gap that lead out of it, one of each of ``share`` parts."""
+    part = F.pmod(F.xxhash64("x", "hub"), F.lit(share)).alias("part")
+    ends = pairs.select(F.explode(F.array("x", "hub")).alias("node"), part, F.struct("gap", "x", "hub").alias("pair")).join(component, "node", "left")
+    return ends.groupBy(F.coalesce("component", "node").alias("component"), "part").agg(F.min("pair").alias("pair")).select("pair.x", "pair.hub").distinct()
+
+
+def _settled(pairs: DataFrame, component: DataFrame, own: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``component`` (node, component) with what the ``pairs`` (x, hub, gap) that link bring together.
+
+    Many pairs go in rounds, each component's most alike first and four times as many in each round:
+    what these bring together needs none of the others.
+    """
+    share = 1
+    while True:
+        many = pairs.count() > ROUND
+        chosen = written(_foremost(pairs, component, share), "foremost") if many else pairs.select("x", "hub")
+        links = _verified(chosen, own, n, num, den, "late").filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
+        if not links.isEmpty():
+            component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+        if not many:
+            return component
+        rest = pairs.join(chosen, ["x", "hub"], "left_anti")
+        for end in ("x", "hub"):
+            rest = rest.join(component.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+        pairs = written(rest.filter("coalesce(x_in, x) <> coalesce(hub_in, hub)").select("x", "hub", "gap"), "rest")
+        share *= 4
+
+
 def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", shared: float | None = None) -> DataFrame:
     """``doc``, ``size`` (of its set) and ``component`` (least linked id) for each row.
 
@@ -535,9 +571,7 @@ def jaccard_components(documents: DataFrame, n: int, num: int, den: int, doc_id:
     seen = tested.withColumn("gap", F.lit(None).cast("long")).unionByName(pairs.filter(~near).withColumn("linked", F.lit(False)), allowMissingColumns=True)
     still = written(_sketched(written(_open_pairs(stars, seen, component, facts, num, den), "unsettled"), facts), "open")
     alike = (F.col("gap") * (den + num) <= (F.col("size") + F.col("hub_size")) * (den - num)) & (F.least("size", "hub_size") * den >= F.greatest("size", "hub_size") * num)
-    late = _verified(still.filter(alike), own, n, num, den, "late").filter("linked").select(F.col("x").alias("a"), F.col("hub").alias("b"))
-    if not late.isEmpty():
-        component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+    component = _settled(still.filter(alike).select("x", "hub", (F.col("gap") / (F.col("size") + F.col("hub_size"))).alias("gap")), component, own, n, num, den)
     labelled = facts.select("rep", *identity).join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "size", F.coalesce("component", "rep").alias("component"))
     return members.join(labelled, identity, "left").select("doc", "size", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
 

@@ -171,50 +171,54 @@ def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch, most):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def sketch_rows(rng, alike, n):
-    """Random sketches, of which the pairs ``alike`` differ in ten bits."""
-    bits = rng.integers(0, 2**64, (n, ngram_join.SKETCH // 64), dtype=np.uint64)
-    for a, b in alike:
-        bits[b] = bits[a]
-        bits[b, :10] ^= np.uint64(1) << rng.integers(0, 64, 10, dtype=np.uint64)
-    return bits.view(np.int64)
+def some_sets(rng, n, low, high):
+    """Sets of sizes from low to high, each third one unlike the others and followed by two near copies, of different sizes."""
+    out = []
+    for x in range(n):
+        if x % 3 == 0:
+            own = rng.integers(0, 2**63, int(rng.integers(low, high)), dtype=np.uint64)
+        else:
+            own = np.concatenate([own[int(rng.integers(0, low // 20)) :], rng.integers(0, 2**63, int(rng.integers(0, low // 20)), dtype=np.uint64)])
+        out.append(np.unique(own))
+    return out
+
 
+def bits_apart(a, b, words):
+    folded = [np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in (a, b)]
+    return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
 
-@pytest.mark.parametrize("block", [3, 8, 512])
-def test_rows_of_a_group_meet_over_all_blocks(spark, monkeypatch, block):
+
+@pytest.mark.parametrize("block,low,high", [(3, 90, 110), (8, 3900, 4300), (512, 2000, 2100)])
+def test_rows_of_a_group_meet_over_all_blocks(spark, monkeypatch, block, low, high):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = np.random.default_rng(block)
-    bits = sketch_rows(rng, [(a, a + 1) for a in range(0, 60, 3)], 70)
-    rows = [(x % 4 if x < 40 else 4 + x % 2, x, int(rng.integers(0, 5)), int(rng.integers(90, 111)), bool(rng.integers(0, 2)), 8 << x % 4 % 3) for x in range(70)]
-    rows += [(g + 10, x, c, size, free, 8) for _, x, c, size, free, _ in rows for g in (0, x % 2)]
-    rows = [(g, x, c, size, free, 8 << g % 3) for g, x, c, size, free, _ in rows]
-    table = spark.createDataFrame(rows, "key long, x long, component long, size long, free boolean, words int")
+    sets = some_sets(rng, 70, low, high)
+    bits = [ngram_join._sketch(s) for s in sets]
+    rows = [(g, x, int(rng.integers(0, 5)), len(sets[x]), bool(rng.integers(0, 2))) for x in range(70) for g in (x % 2, 2 + x % 4, 6, 7 + x)]
+    table = spark.createDataFrame(rows, "key long, x long, component long, size long, free boolean")
     facts = spark.createDataFrame([(x, bits[x].tolist()) for x in range(70)], "rep long, sketch array<long>")
-    got = ngram_join._compared(table, ["key"], F.col("words"), facts, 80, 100, lambda c, i, j: np.abs(c["size"][i] - c["size"][j]) < 9)
-
-    def folded(x, words):
-        own = bits[x]
-        while len(own) > words:
-            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
-        return own
-
-    plain = set()
-    for g, x, c, size, free, words in rows:
-        for h, y, d, width, other, _ in rows:
-            apart = int(np.bitwise_count((folded(x, words) ^ folded(y, words)).view(np.uint64)).sum())
-            if g == h and x < y and c != d and (free or other) and abs(size - width) < 9 and 100 * min(size, width) >= 80 * max(size, width) and 180 * apart <= 20 * (size + width):
-                plain.add((x, y))
+    got = ngram_join._compared(table, ["key"], F.col("key") % 3 * 400 + 100, facts, 80, 100, lambda c, i, j: np.abs(c["size"][i] - c["size"][j]) < low // 15)
+    plain, shortest = set(), {g: min(len(bits[z]) for k, z, *_ in rows if k == g) for g, *_ in rows}
+    for g, x, c, size, free in rows:
+        for h, y, d, width, other in rows:
+            words = min((8, 32, 64)[g % 3], shortest[g])
+            if g == h and x < y and c != d and (free or other) and abs(size - width) < low // 15 and 100 * min(size, width) >= 80 * max(size, width):
+                if 180 * bits_apart(bits[x].view(np.uint64), bits[y].view(np.uint64), words) <= 20 * (size + width):
+                    plain.add((x, y))
     assert plain and {(r.x, r.hub) for r in got.collect()} == plain
 
 
 def test_many_sets_of_one_signature_are_compared_in_time(spark):
-    n, alike = 6000, [(a, a + 1) for a in range(1, 5990, 500)]
-    bits = sketch_rows(np.random.default_rng(1), alike, n)
+    n, alike, rng = 6000, [(a, a + 1) for a in range(1, 5990, 500)], np.random.default_rng(1)
+    bits = rng.integers(0, 2**64, (n, ngram_join.SKETCH // 64), dtype=np.uint64)
+    for a, b in alike:
+        bits[b] = bits[a]
+        bits[b, :10] ^= np.uint64(1) << rng.integers(0, 64, 10, dtype=np.uint64)
     key = int(np.searchsorted(ngram_join.band_edges(80, 100), 1000, side="right") - 1) << 32
     x = [(k,) for k in range(1, n)]
     stars = spark.createDataFrame([(key, 0, *k) for k in x], "key long, hub long, x long")
     seen = spark.createDataFrame([(*k, 0, 1000, 1000, False, 900) for k in x], "x long, hub long, size long, hub_size long, linked boolean, gap long").withColumn("common", F.lit(None).cast("long")).withColumn("delta", F.lit(None).cast("array<long>"))
-    facts = spark.createDataFrame([(k, bits[k].tolist()) for k in range(n)], "rep long, sketch array<long>")
+    facts = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(bits.view(np.int64))], "rep long, sketch array<long>")
     component = spark.createDataFrame([], "node long, component long")
     began = time.monotonic()
     got = ngram_join._open_pairs(stars, seen, component, facts, 80, 100).collect()
@@ -222,6 +226,43 @@ def test_many_sets_of_one_signature_are_compared_in_time(spark):
     assert time.monotonic() - began < 40
 
 
+@pytest.mark.parametrize("low,high", [(20, 60), (1900, 2200), (3900, 4300), (9000, 20000)])
+def test_sketches_tell_sets_of_any_size_apart(spark, low, high):
+    rng = np.random.default_rng(low)
+    sets = some_sets(rng, 24, low, high)
+    facts = spark.createDataFrame([(x, len(s), ngram_join._sketch(s).tolist()) for x, s in enumerate(sets)], "rep long, size long, sketch array<long>")
+    pairs = spark.createDataFrame([(x, y) for x in range(24) for y in range(x)], "x long, hub long")
+    for r in ngram_join._sketched(pairs, facts).collect():
+        assert r.gap <= len(np.setxor1d(sets[r.x], sets[r.hub]))
+        if r.x // 3 != r.hub // 3 and 100 * min(r["size"], r.hub_size) >= 80 * max(r["size"], r.hub_size):
+            assert 180 * r.gap > 30 * (r["size"] + r.hub_size)  # a third more than 20, what may differ
+
+
+def test_pairs_that_bring_together_spare_the_others(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUND", 10)
+    looked, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: looked.append(pairs.count()) or verified(pairs, *rest))
+    rng = random.Random(2)
+    docs = []
+    for base in (text(rng, 200).split(), text(rng, 200).split()):
+        docs += [(len(docs) + k, " ".join(base[:k] + [f"own{len(docs) + k}"] + base[k + 1 :])) for k in range(0, 30)]
+    own = spark.createDataFrame(docs, "doc long, text string")
+    pairs = [(x, y, abs(x - y) / 100) for x in range(60) for y in range(x)]
+    component = spark.createDataFrame([(k, 0) for k in range(5)], "node long, component long")
+    found = ngram_join._settled(spark.createDataFrame(pairs, "x long, hub long, gap double"), component, own, 5, 80, 100)
+    assert {r.node: r.component for r in found.collect()} == {k: k // 30 * 30 for k in range(60)}
+    assert sum(looked) < len(pairs)
+
+
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_join_in_rounds_and_small_blocks_finds_every_link(spark, monkeypatch, n, num, den):
+    monkeypatch.setattr(ngram_join, "ROUND", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    docs = large_sets(11)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc: (r["size"], r.component) for r in ngram_join.jaccard_components(table, n, num, den).collect()} == plain_components(docs, n, num, den)
+
+
 def test_plans_cover_what_may_differ():
     for num, den, shared in ((90, 100, 0), (80, 100, 0), (1, 2, 0), (80, 100, 0.95), (90, 100, 0.99)):
         edges = ngram_join.band_edges(num, den)
